@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.shared import word_count
+from tidewater.llm.shared import materialise, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -73,9 +73,15 @@ def offset_of(source: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("long") % 1024) / F.lit(1024.0)
 
 
+def _sizes(docs: DataFrame) -> DataFrame:
+    """(source, doc_id, size) as a written table: it is used several times, the
+    texts are read once for it."""
+    return materialise(docs.select(F.col("source").cast("string").alias("source"), "doc_id", word_count(F.col("text")).alias("size")), "sizes")
+
+
 def copies(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 7, slots: int = 512) -> DataFrame:
     """row (a struct of all columns of *docs*), size, source_size, target, copies."""
-    light = docs.select(docs["source"].cast("string").alias("source"), docs["doc_id"].alias("doc_id"), word_count(docs["text"]).alias("size"))
+    light = _sizes(docs)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(docs["text"]).alias("size"))
     return _with_copies(rows, light, weights, max_copies, seed, slots)
 
@@ -111,7 +117,7 @@ def _with_copies(rows: DataFrame, light: DataFrame, weights, max_copies: int, se
 def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
     opts = {"weights": WEIGHTS, "max_copies": MAX_COPIES, "seed": 7, "slots": 512} | options
-    light = docs.select(F.col("source").cast("string").alias("source"), "doc_id", word_count(F.col("text")).alias("size"))
+    light = _sizes(docs)
     out = _with_copies(light, light, **opts)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
