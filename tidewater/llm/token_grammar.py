@@ -47,7 +47,9 @@ from tidewater.llm.shared import filesystem, materialise, scratch
 
 END = 2
 MAGIC = b"TWGRAM01"
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Where a text may be cut without parting what the pre-tokenizer keeps together:
+#: before white space, and between a run of Latin letters and a mark after it.
+_CHUNK = re.compile("[ \\n]*[A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f]++(?![^\\W_])|[ \\n]*[^ \\n]+|[ \\n]+")
 #: White space besides the two characters at which texts are cut.
 _OTHER_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
@@ -55,9 +57,9 @@ _OTHER_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, remembering words.
 
-    The pre-tokenizer never joins what is separated by a single space or line
-    end between other characters, so a text is cut there and each distinct cut
-    is encoded by the library once.  A text with any other white space is
+    The pre-tokenizer never joins what lies on both sides of a space or line end
+    after other characters, nor a letter with a mark, so a text is cut there and
+    each distinct cut is encoded by the library once.  A text with any other white space is
     encoded whole.
     """
 
@@ -102,20 +104,29 @@ class ChunkEncoder:
         whole = [k for k, t in enumerate(texts) if _OTHER_SPACE.search(t)]
         for k, ids in zip(whole, self._library([texts[k] for k in whole])):
             out[k] = ids
-        cut = {k: _CHUNK.findall(t) for k, t in enumerate(texts) if out[k] is None}
         if len(self.cache) > self.cache_limit:
             self.older, self.cache = self.cache, {}
-        new = []
-        for c in set().union(*cut.values()):
-            if c not in self.cache:
-                if c in self.older:
-                    self.cache[c] = self.older.pop(c)
+        get, waiting, new = self.cache.get, [], set()
+        for k, text in enumerate(texts):
+            if out[k] is None:
+                chunks = _CHUNK.findall(text)
+                found = list(map(get, chunks))
+                holes, at = [], -1
+                for _ in range(found.count(None)):
+                    at = found.index(None, at + 1)
+                    holes.append((at, chunks[at]))
+                if holes:
+                    waiting.append((k, found, holes))
+                    new.update([c for _, c in holes])
                 else:
-                    new.append(c)
-        self._learn(new)
-        get = self.cache.__getitem__
-        for k, chunks in cut.items():
-            out[k] = b"".join(map(get, chunks))
+                    out[k] = b"".join(found)
+        for c in [c for c in new if c in self.older]:
+            self.cache[c] = self.older.pop(c)
+        self._learn([c for c in new if c not in self.cache])
+        for k, found, holes in waiting:
+            for at, c in holes:
+                found[at] = self.cache[c]
+            out[k] = b"".join(found)
         return out  # type: ignore[return-value]
 
 
@@ -128,78 +139,79 @@ def _encoder(path: str) -> ChunkEncoder:
     return _loaded[path]
 
 
-def compress(seq: np.ndarray, starts: np.ndarray, base: int, rounds: int = 6, per_round: int = 2048, least: int = 16):
+def compress(seq: np.ndarray, starts: np.ndarray, base: int, rounds: int = 4, per_round: int = 4096, least: int = 16):
     """Re-Pair over one shard.
 
     *seq*: token ids below *base*; *starts*: index of each document's first
-    token, and the end.  Returns (symbols, symbol starts, rules, lengths).
+    token.  Returns (symbols, symbol starts, rules, lengths).  Where ids and
+    rules fit in 16 bits, a pair is one 32-bit key.
     """
-    seq = seq.astype(np.int32)
-    doc_start = np.zeros(len(seq) + 1, bool)
-    doc_start[starts] = True
-    doc_start = doc_start[: len(seq)]
+    narrow = base < 1 << 16
+    shift, key_type, limit = (16, np.uint32, 1 << 16) if narrow else (31, np.uint64, 1 << 31)
+    seq = seq.astype(np.uint16 if narrow else np.uint32)
+    last = np.zeros(len(seq), bool)  # the last symbol of each document
+    last[np.asarray(starts[1:]) - 1] = True
+    last[-1:] = True
     rules: list[np.ndarray] = []
-    lengths: list[np.ndarray] = []
-    size, known = 1 << 16, np.empty(0, np.int64)
+    lengths = np.empty(0, np.uint32)
     for _ in range(rounds):
-        n_rules = sum(map(len, rules))
-        free = min(per_round, (1 << 16) - base - n_rules)
+        first_new = base + len(lengths)
+        free = min(per_round, limit - first_new)
         if len(seq) < 2 or free <= 0:
             break
-        pair = (seq[:-1].astype(np.int64) << 20) | seq[1:]
-        pair[doc_start[1:]] = -1
-        ordered = np.sort(pair)
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
-        value, count = ordered[edge[:-1]], np.diff(edge)
-        del ordered
-        good = np.flatnonzero((count >= least) & (value >= 0))
+        pair = (seq[:-1].astype(key_type) << key_type(shift)) | seq[1:]
+        inner = ~last[:-1]
+        ordered = np.sort(pair[inner])
+        edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+        edge = np.concatenate(([0], edge, [len(ordered)])) if len(ordered) else np.zeros(1, np.int64)
+        count = np.diff(edge)
+        good = np.flatnonzero(count >= least)
         if not len(good):
             break
         if len(good) > free:
             good = np.sort(good[np.argpartition(-count[good], free - 1)[:free]])
-        chosen = value[good]
-        # direct look-up by a hash of the pair; of pairs with one slot the more frequent stays
-        order = np.argsort(count[good], kind="stable")
-        slot_of = np.full(size, -1, np.int32)
-        slots = _slot(chosen, size)
-        slot_of[slots[order]] = order
-        kept = np.flatnonzero(slot_of[slots] == np.arange(len(chosen)))
-        renumber = np.full(len(chosen), -1, np.int32)
-        renumber[kept] = np.arange(len(kept))
-        slot_of = np.where(slot_of >= 0, renumber[slot_of], -1)
+        chosen, often = ordered[edge[good]], count[good]
+        del ordered
+        # direct look-up by a 16-bit hash of the pair; of pairs with one slot the most frequent stays
+        slots = _slot(chosen)
+        order = np.argsort(often, kind="stable")
+        owner = np.full(1 << 16, -1, np.int32)
+        owner[slots[order]] = order
+        kept = np.flatnonzero(owner[slots] == np.arange(len(chosen)))
+        number = np.full(1 << 16, -1, np.int32)
+        number[slots[kept]] = np.arange(len(kept))
         chosen = chosen[kept]
-        rule = slot_of[_slot(pair, size)]
-        hit = rule >= 0
-        hit[hit] = chosen[rule[hit]] == pair[hit]
+        at = np.flatnonzero((number >= 0)[_slot(pair)] & inner)
+        there = pair[at]
         del pair
-        at = np.flatnonzero(hit)
+        rule = number[_slot(there)]
+        same = chosen[rule] == there
+        at, rule = at[same], rule[same]
         if not len(at):
             break
         # runs of adjacent hits: every second one is taken, from the left
         run = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
         in_run = np.arange(len(at)) - np.repeat(run, np.diff(np.concatenate((run, [len(at)]))))
-        at = at[in_run % 2 == 0]
-        left, right = (chosen >> 20).astype(np.uint32), (chosen & ((1 << 20) - 1)).astype(np.uint32)
-        every = np.concatenate(lengths) if lengths else np.empty(0, np.uint32)
-
-        def length(symbols):
-            return np.where(symbols < base, 1, every[np.maximum(symbols.astype(np.int64) - base, 0)] if len(every) else 1).astype(np.uint32)
-
-        seq[at] = base + n_rules + rule[at]
+        taken = in_run % 2 == 0
+        at, rule = at[taken], rule[taken]
+        left, right = (chosen >> key_type(shift)).astype(np.int64), (chosen & key_type((1 << shift) - 1)).astype(np.int64)
+        known = np.concatenate((np.ones(1, np.uint32), lengths))
+        rules.append(np.stack([left, right], axis=1).astype(np.uint32))
+        lengths = np.concatenate((lengths, known[np.maximum(left - base + 1, 0)] + known[np.maximum(right - base + 1, 0)]))
+        seq[at] = (first_new + rule).astype(seq.dtype)
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        rules.append(np.stack([left, right], axis=1))
-        lengths.append(length(left) + length(right))
-        seq, doc_start = seq[stay], doc_start[stay]
+        last[at] = last[at + 1]
+        seq, last = seq[stay], last[stay]
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
-    width = np.concatenate(lengths) if lengths else np.empty(0, np.uint32)
-    symbol_starts = np.concatenate((np.flatnonzero(doc_start), [len(seq)]))
-    return seq, symbol_starts, table, width
+    symbol_starts = np.concatenate(([0], np.flatnonzero(last) + 1))
+    return seq, symbol_starts, table, lengths
 
 
-def _slot(pair: np.ndarray, size: int) -> np.ndarray:
-    mixed = pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(48)).astype(np.int64) & (size - 1)
+def _slot(pair: np.ndarray) -> np.ndarray:
+    if pair.dtype == np.uint32:
+        return (pair * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    return (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
 
 
 def expand(symbols: np.ndarray, base: int, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
