@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -17,7 +18,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(scale == 0, F.lit(0.0)).otherwise(dot(a, b) / scale)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_float32(v: pd.Series) -> pd.Series:
     """Little-endian float32 bytes of a vector."""
     import numpy as np
@@ -25,7 +26,7 @@ def pack_float32(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpack_float32(blob: pd.Series) -> pd.Series:
     """A vector from its bytes; a length that is no multiple of four is an error."""
     import numpy as np
