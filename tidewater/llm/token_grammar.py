@@ -47,86 +47,178 @@ from tidewater.llm.shared import filesystem, materialise, scratch
 
 END = 2
 MAGIC = b"TWGRAM01"
-#: Where a text may be cut without parting what the pre-tokenizer keeps together:
-#: before white space, and between a run of Latin letters and a mark after it.
-_CHUNK = re.compile("[ \\n]*[A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f]++(?![^\\W_])|[ \\n]*[^ \\n]+|[ \\n]+")
 #: White space besides the two characters at which texts are cut.
 _OTHER_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
 
+_BYTES = np.arange(256)
+_IS_SPACE = (_BYTES == 32) | (_BYTES == 10)
+_IS_LETTER = ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122))
+_IS_MARK = (_BYTES > 32) & (_BYTES < 127) & ~_IS_LETTER & ~((_BYTES >= 48) & (_BYTES <= 57))
+
+
 class ChunkEncoder:
-    """Encodes texts with the tokenizers library, remembering words.
+    """Encodes texts with the tokenizers library, remembering what it has seen.
 
     The pre-tokenizer never joins what lies on both sides of a space or line end
-    after other characters, nor a letter with a mark, so a text is cut there and
-    each distinct cut is encoded by the library once.  A text with any other white space is
+    after other characters, nor an ASCII letter with a mark after it, so texts
+    are cut there and each distinct cut is encoded by the library once.  A text
+    with any other white space or a special string, or longer than a batch, is
     encoded whole.
+
+    Cuts are found on the bytes of a batch of texts at once; a cut is known by
+    the 64-bit value of a polynomial with random coefficients over its bytes,
+    looked up in an open-addressing table of fixed size that is emptied when it
+    is half full.
     """
 
-    def __init__(self, path: str, cache_limit: int = 600_000):
+    def __init__(self, path: str, batch_bytes: int = 1 << 19, table_bits: int = 21):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache_limit, self.cache, self.older = cache_limit // 2, {}, {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, k in vocab.items():  # one character of a token stands for one byte
             self.token_bytes[k] = len(token)
+        self.batch_bytes, self.table_bits = batch_bytes, table_bits
+        rng = np.random.default_rng(5)
+        self.coefficient = rng.integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        step = 0x9E3779B97F4A7C15
+        back = pow(step, -1, 1 << 64)
+        self.power, self.inverse = (np.cumprod(np.full(2 * batch_bytes, x, np.uint64)) for x in (step, back))
+        self._forget()
+
+    def _forget(self) -> None:
+        size = 1 << self.table_bits
+        self.keys, self.entry = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+        self.known = 0
+        self.first, self.count = np.zeros(size // 2 + 1, np.int64), np.zeros(size // 2 + 1, np.int64)
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.used = 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks, many in one text: what is encoded is cut at the
-        chunks' ends again by the number of bytes that each token stands for."""
-        join = [c for c in chunks if c[0] in " \n" and c[-1] not in " \n"]
-        single = [c for c in chunks if not (c[0] in " \n" and c[-1] not in " \n")]
+    def _encode_cuts(self, cuts: list[bytes]) -> list[bytes]:
+        """Ids of cuts, many in one text: what comes out is cut at the cuts' ends
+        again by the number of bytes that each token stands for."""
+        out: list[bytes | None] = [None] * len(cuts)
+        join = [k for k, c in enumerate(cuts) if c[0] in b" \n" and c[-1] not in b" \n"]
         groups = [join[a : a + 64] for a in range(0, len(join), 64)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+        texts = [b"".join([cuts[k] for k in g]).decode("utf-8") for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             at = np.cumsum(self.token_bytes[ids])
-            ends = np.cumsum([len(c.encode("utf-8")) for c in group])
+            ends = np.cumsum([len(cuts[k]) for k in group])
             cut = np.searchsorted(at, ends)
             if cut[-1] < len(at) and (at[cut] == ends).all():
                 raw, a = ids.tobytes(), 0
-                for c, b in zip(group, ((cut + 1) * 4).tolist()):
-                    self.cache[c], a = raw[a:b], b
-            else:
-                single += group
-        self.cache.update(zip(single, self._library(single)))
+                for k, b in zip(group, ((cut + 1) * 4).tolist()):
+                    out[k], a = raw[a:b], b
+        left = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(left, self._library([cuts[k].decode("utf-8") for k in left])):
+            out[k] = ids
+        return out  # type: ignore[return-value]
+
+    def _find(self, value: np.ndarray) -> np.ndarray:
+        """Entry of each value, -1 where it is not known."""
+        mask = len(self.keys) - 1
+        slot = (value >> np.uint64(64 - self.table_bits)).astype(np.int64)
+        there = self.keys[slot]
+        out = np.where(there == value, self.entry[slot], -1)
+        open_ = np.flatnonzero((there != value) & (there != 0))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & mask
+            there = self.keys[slot]
+            hit = there == value[open_]
+            out[open_[hit]] = self.entry[slot[hit]]
+            on = ~hit & (there != 0)
+            open_, slot = open_[on], slot[on]
+        return out
+
+    def _remember(self, value: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """Store new distinct values; returns their entries."""
+        mask, number = len(self.keys) - 1, self.known + np.arange(len(value))
+        counts = np.array([len(x) // 4 for x in ids], np.int64)
+        total = self.used + int(counts.sum())
+        if total > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(max(total, 2 * len(self.flat)) - len(self.flat), np.uint32)))
+        self.flat[self.used : total] = np.frombuffer(b"".join(ids), "<u4")
+        self.first[number], self.count[number] = self.used + np.cumsum(counts) - counts, counts
+        self.used, self.known = total, self.known + len(value)
+        slot, rest = (value >> np.uint64(64 - self.table_bits)).astype(np.int64), np.arange(len(value))
+        while len(rest):
+            free = rest[self.keys[slot[rest]] == 0]
+            self.keys[slot[free]] = value[free]
+            won = self.keys[slot[rest]] == value[rest]
+            self.entry[slot[rest[won]]] = number[rest[won]]
+            rest = rest[~won]
+            slot[rest] = (slot[rest] + 1) & mask
+        return number
+
+    def _batch(self, raws: list[bytes]) -> list[bytes]:
+        joined = b"".join(raws)
+        if not joined:
+            return [b""] * len(raws)
+        buf = np.frombuffer(joined, np.uint8)
+        edges = np.concatenate(([0], np.cumsum([len(r) for r in raws])))
+        space = _IS_SPACE[buf]
+        begin = np.empty(len(buf), bool)
+        begin[0] = True
+        begin[1:] = (space[1:] & ~space[:-1]) | (_IS_MARK[buf[1:]] & _IS_LETTER[buf[:-1]])
+        begin[edges[:-1][edges[:-1] < len(buf)]] = True
+        start = np.flatnonzero(begin)
+        end = np.append(start[1:], len(buf))
+        prefix = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(self.coefficient[buf] * self.power[: len(buf)], out=prefix[1:])
+        value = (prefix[end] - prefix[start]) * self.inverse[start]
+        value = (value ^ (value >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + (end - start).astype(np.uint64)
+        value = (value ^ (value >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        value[value == 0] = 1
+        entry = self._find(value)
+        miss = np.flatnonzero(entry < 0)
+        if len(miss):
+            new, one, back = np.unique(value[miss], return_index=True, return_inverse=True)
+            if self.known + len(new) > len(self.keys) // 2:
+                self._forget()
+                return self._batch(raws)
+            at = miss[one]
+            cuts = [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
+            entry[miss] = self._remember(new, self._encode_cuts(cuts))[back]
+        count = self.count[entry]
+        ends = np.cumsum(count)
+        ids = self.flat[np.repeat(self.first[entry] - (ends - count), count) + np.arange(ends[-1])].astype("<u4").tobytes()
+        cut = np.concatenate(([0], ends))[np.searchsorted(start, edges)] * 4
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
-        whole = [k for k, t in enumerate(texts) if _OTHER_SPACE.search(t)]
-        for k, ids in zip(whole, self._library([texts[k] for k in whole])):
-            out[k] = ids
-        if len(self.cache) > self.cache_limit:
-            self.older, self.cache = self.cache, {}
-        get, waiting, new = self.cache.get, [], set()
+        raws, keys, held = [], [], 0
+
+        def flush() -> None:
+            nonlocal held
+            for k, ids in zip(keys, self._batch(raws)):
+                out[k] = ids
+            raws.clear(), keys.clear()
+            held = 0
+
         for k, text in enumerate(texts):
-            if out[k] is None:
-                chunks = _CHUNK.findall(text)
-                found = list(map(get, chunks))
-                holes, at = [], -1
-                for _ in range(found.count(None)):
-                    at = found.index(None, at + 1)
-                    holes.append((at, chunks[at]))
-                if holes:
-                    waiting.append((k, found, holes))
-                    new.update([c for _, c in holes])
-                else:
-                    out[k] = b"".join(found)
-        for c in [c for c in new if c in self.older]:
-            self.cache[c] = self.older.pop(c)
-        self._learn([c for c in new if c not in self.cache])
-        for k, found, holes in waiting:
-            for at, c in holes:
-                found[at] = self.cache[c]
-            out[k] = b"".join(found)
+            raw = text.encode("utf-8")
+            if len(raw) > self.batch_bytes or _OTHER_SPACE.search(text) or any(x in text for x in self.special):
+                out[k] = self._library([text])[0]
+                continue
+            raws.append(raw)
+            keys.append(k)
+            held += len(raw)
+            if held > self.batch_bytes:
+                flush()
+        flush()
         return out  # type: ignore[return-value]
 
 
