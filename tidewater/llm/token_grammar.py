@@ -39,6 +39,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,7 +73,7 @@ class ChunkEncoder:
     is half full.
     """
 
-    def __init__(self, path: str, batch_bytes: int = 1 << 19, table_bits: int = 21):
+    def __init__(self, path: str, batch_bytes: int = 1 << 19, table_bits: int = 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -231,7 +232,7 @@ def _encoder(path: str) -> ChunkEncoder:
     return _loaded[path]
 
 
-def compress(seq: np.ndarray, starts: np.ndarray, base: int, rounds: int = 4, per_round: int = 4096, least: int = 16):
+def compress(seq: np.ndarray, starts: np.ndarray, base: int, rounds: int = 4, per_round: int = 2048, least: int = 16):
     """Re-Pair over one shard.
 
     *seq*: token ids below *base*; *starts*: index of each document's first
@@ -374,13 +375,13 @@ def shard_bytes(doc_ids: list[int | None], tokens: list[bytes], base: int) -> tu
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *[a.tobytes() for a in arrays.values()]]), int(token_start[-1])
 
 
-def write(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens: int = 3_000_000) -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens: int = 1_500_000) -> DataFrame:
     """Encode *docs* and write grammar shards to *folder*; returns the manifest
     (part, number, file, docs, tokens), a written table.  Only files that the
     manifest names count; those of lost or repeated attempts are ignored."""
     spark = docs.sparkSession
 
-    def one_part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one_part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
@@ -392,34 +393,33 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens: int =
         tokens: list[bytes] = []
         held = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal number, held
             blob, n = shard_bytes(ids, tokens, base)
             name = f"{part:06d}-{number:06d}-{uuid.uuid4().hex}.twg"
             with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(blob)
-            row = pd.DataFrame({"part": [part], "number": [number], "file": [name], "docs": [len(ids)], "tokens": [n]})
+            row = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([name]), pa.array([len(ids)]), pa.array([n])]
             ids.clear(), tokens.clear()
             number, held = number + 1, 0
-            return row
+            return pa.RecordBatch.from_arrays(row, ["part", "number", "file", "docs", "tokens"])
 
         end = np.array([END], "<u4").tobytes()
-        for frame in frames:
-            for a in range(0, len(frame), 128):
-                some = frame.iloc[a : a + 128]
-                for d, t in zip(some["doc_id"].tolist(), encoder.encode([x or "" for x in some["text"]])):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 128):
+                doc_ids, texts = (c.to_pylist() for c in batch.slice(a, 128).columns)
+                for d, t in zip(doc_ids, encoder.encode([x or "" for x in texts])):
                     if held and held + len(t) // 4 + 1 > shard_tokens:
                         yield flush()
-                    ids.append(None if pd.isna(d) else int(d))
+                    ids.append(d)
                     tokens.append(t + end)
                     held += len(t) // 4 + 1
         if ids:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    # nulls keep the ids integral in pandas
-    ordered = ordered.withColumn("doc_id", F.col("doc_id").cast("string"))
-    written = ordered.mapInPandas(one_part, "part int, number int, file string, docs long, tokens long")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    written = ordered.mapInArrow(one_part, "part int, number int, file string, docs long, tokens long")
     return materialise(written, "grammar-manifest")
 
 
