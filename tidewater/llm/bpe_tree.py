@@ -11,7 +11,7 @@ kept as rows of one matrix and advanced together: every round takes each word's
 root, merges, and updates the paths.  A word of any length has its own class,
 so long words need memory in proportion to their length only.
 
-Texts are cut at spaces and line ends; what lies between is encoded once per
+Texts are cut at spaces and line ends and before marks; what lies between is encoded once per
 worker and remembered, so a text costs one look-up for each of its words.  The
 memory has two halves of ``cache_limit / 2`` entries each; when the younger is
 full it becomes the older, and what was not used meanwhile is forgotten.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -34,6 +35,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Cuts that part no piece and no composed character: at spaces and line ends,
+#: and between Latin letters and an ASCII mark after them.
+_CHUNK = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?![^\\W_]|[^\\x00-\\x7f])|[^ \\n]+")
 _NONE = np.iinfo(np.int64).max
 _POS_BITS = 24
 
@@ -93,31 +97,32 @@ class PairRanks:
         return np.where(ok, self.rank[hit], -1), np.where(ok, self.out[hit], -1)
 
 
-def merge_words(words: list[np.ndarray], ranks: PairRanks, cells: int = 1 << 21) -> list[np.ndarray]:
-    """Final ids of every word (arrays of initial ids), in the given order."""
-    out: list[np.ndarray | None] = [None] * len(words)
-    classes: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
-        if len(w) < 2:
-            out[k] = w
-        else:
-            classes.setdefault(max(1, (len(w) - 1).bit_length()), []).append(k)
-    for depth, members in classes.items():
-        block = max(1, cells >> depth)
+def merge_words(flat: np.ndarray, lengths: np.ndarray, ranks: PairRanks, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Final ids of words, one after the other, and their numbers of ids.
+
+    *flat* has the initial ids of all words, *lengths* their numbers."""
+    start = np.cumsum(lengths) - lengths
+    depth = np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64)
+    depth[(1 << depth) < lengths] += 1
+    left = lengths.copy()
+    ids = flat.copy()  # a word's final ids are put where it began
+    for d in np.unique(depth[lengths > 1]):
+        members = np.flatnonzero((depth == d) & (lengths > 1))
+        block = max(1, cells >> int(d))
         for a in range(0, len(members), block):
             part = members[a : a + block]
-            for k, ids in zip(part, _merge_block([words[k] for k in part], 1 << depth, ranks)):
-                out[k] = ids
-    return out  # type: ignore[return-value]
+            done, count = _merge_block(flat, start[part], lengths[part], 1 << int(d), ranks)
+            left[part] = count
+            ids[np.repeat(start[part] - (np.cumsum(count) - count), count) + np.arange(len(done))] = done
+    return ids[np.repeat(start - (np.cumsum(left) - left), left) + np.arange(left.sum())], left
 
 
-def _merge_block(words: list[np.ndarray], width: int, ranks: PairRanks) -> list[np.ndarray]:
-    """Words of at most *width* ids, advanced together."""
-    count = len(words)
-    lengths = np.array([len(w) for w in words])
+def _merge_block(flat, start, lengths, width: int, ranks: PairRanks) -> tuple[np.ndarray, np.ndarray]:
+    """Words of at most *width* ids, advanced together: final ids and counts."""
+    count = len(lengths)
     ids = np.full((count, width), -1, np.int64)
     filled = np.arange(width)[None, :] < lengths[:, None]
-    ids[filled] = np.concatenate(words)
+    ids[filled] = flat[np.repeat(start - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
     # links between the positions that are still there; width means none
     following = np.where(np.arange(1, width + 1)[None, :] < lengths[:, None], np.arange(1, width + 1)[None, :], width)
     before = np.broadcast_to(np.arange(-1, width - 1), (count, width)).copy()
@@ -150,8 +155,8 @@ def _merge_block(words: list[np.ndarray], width: int, ranks: PairRanks) -> list[
         if some.any():
             _update(tree, width, live[some], prev[some], _leaf(ids, live[some], prev[some], at[some], width, ranks))
         live = live[tree[live, 1] != _NONE]
-    flat = ids[ids >= 0]
-    return np.split(flat, np.cumsum((ids >= 0).sum(axis=1))[:-1])
+    there = ids >= 0
+    return ids[there], there.sum(axis=1)
 
 
 def _leaf(ids, row, at, nxt, width, ranks) -> np.ndarray:
@@ -203,11 +208,16 @@ class TreeBPE:
         self.end_id = np.array([self.vocab.get(c + self.suffix, -1) for c in alphabet], np.int64)
         self.cache_limit, self.cache, self.older = cache_limit // 2, {}, {}
 
-    def _start(self, piece: str) -> np.ndarray:
-        raw = np.frombuffer(piece.encode("utf-8"), np.uint8)
+    def _initial(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the bytes of all pieces, the last of each with the word end."""
+        raws = [p.encode("utf-8") for p in pieces]
+        size = np.array([len(r) for r in raws], np.int64)
+        raw = np.frombuffer(b"".join(raws), np.uint8)
         ids = self.plain_id[raw]
-        ids[-1] = self.end_id[raw[-1]]
-        return ids[ids >= 0]
+        last = np.cumsum(size) - 1
+        ids[last] = self.end_id[raw[last]]
+        known = ids >= 0
+        return ids[known], np.add.reduceat(known.astype(np.int64), last - size + 1)
 
     def _cut(self, chunk: str) -> list[str | int]:
         """Pieces of a chunk, and ids of the special strings in it."""
@@ -229,15 +239,24 @@ class TreeBPE:
         new = list(chunks)
         cut = [self._cut(c) for c in new]
         pieces = list(dict.fromkeys(p for parts in cut for p in parts if isinstance(p, str)))
-        done = dict(zip(pieces, merge_words([self._start(p) for p in pieces], self.ranks)))
-        names = self.names
+        done: dict[str, tuple[str, str]] = {}
+        if pieces:
+            flat, count = merge_words(*self._initial(pieces), self.ranks)
+            decimals, names = list(map(str, flat.tolist())), list(map(self.names.__getitem__, flat.tolist()))
+            ends = np.cumsum(count).tolist()
+            for p, a, b in zip(pieces, [0, *ends], ends):
+                done[p] = (" ".join(decimals[a:b]), " ".join(names[a:b]))
         for c, parts in zip(new, cut):
-            ids = [i for p in parts for i in ((p,) if isinstance(p, int) else done[p].tolist())]
-            self.cache[c] = (" ".join(map(str, ids)), " ".join([names[i] for i in ids]))
+            if len(parts) == 1 and isinstance(parts[0], str):
+                self.cache[c] = done[parts[0]]
+                continue
+            found = [done[p] if isinstance(p, str) else (str(p), self.names[p]) for p in parts]
+            found = [x for x in found if x[0]]
+            self.cache[c] = (" ".join([x[0] for x in found]), " ".join([x[1] for x in found]))
 
     def digest(self, texts: Iterable[str | None]) -> list[tuple[int, str, str]]:
         """For each text: number of ids, ids as decimals joined by a space, decoded text."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [_CHUNK.findall(t or "") for t in texts]
         if len(self.cache) > self.cache_limit:  # what is still used comes back from the older half
             self.older, self.cache = self.cache, {}
         new = []
@@ -291,8 +310,8 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     @F.pandas_udf("n long, ids string, decoded string")
     def run(texts: pd.Series) -> pd.DataFrame:
         encoder, rows = loaded(path), []
-        for a in range(0, len(texts), 256):
-            for n, ids, decoded in encoder.digest(texts.iloc[a : a + 256]):
+        for a in range(0, len(texts), 512):
+            for n, ids, decoded in encoder.digest(texts.iloc[a : a + 512]):
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()))
         return pd.DataFrame(rows, columns=["n", "ids", "decoded"])
 
