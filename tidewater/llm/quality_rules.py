@@ -21,6 +21,7 @@ from tidewater.llm.shared import SPACES, WORD
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+MARKS = ".,;:!?()\"'"
 
 #: Frequent function words of the languages at hand, for the stop-word ratio.
 STOP_WORDS = {
@@ -53,8 +54,10 @@ def words(text: Column) -> Column:
 def repeated_words(word_array: Column, width: int = WINDOW) -> Column:
     """Words inside windows of *width* words that occur twice or more, first included.
 
-    Each word is hashed once; the hash of a window is that of its word hashes.
-    Only texts with a repeated window pay for sorting (hash, position) pairs.
+    Each word is hashed once; windows of 2, 4 and 8 words are hashed from two
+    windows of half the width, as long as any of these repeats (*width* is a
+    power of two).  Only texts with a repeated window pay for sorting (hash,
+    position) pairs.
     """
 
     def cover(wins: Column) -> Column:
@@ -70,26 +73,34 @@ def repeated_words(word_array: Column, width: int = WINDOW) -> Column:
 
         return _let(pairs, lambda p: _let(repeated_positions(p), covered))
 
-    def from_hashes(hashes: Column) -> Column:
-        wins = F.transform(
-            F.sequence(F.lit(1), F.size(hashes) - (width - 1)),
-            lambda i: F.xxhash64(F.slice(hashes, i, F.lit(width))),
-        )
-        return _let(wins, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(cover(w)))
+    def joined(h: Column, reach: int) -> Column:
+        """Hashes of pairs that lie *reach* apart: windows of twice that width."""
+        n = F.size(h) - reach
+        return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(reach + 1), n), lambda a, b: F.xxhash64(a, b))
+
+    def unless_distinct(h: Column, then) -> Column:
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(then(h))
+
+    def doubled(h: Column, reach: int) -> Column:
+        # a repeated window holds repeated windows of half its width
+        if reach == width:
+            return unless_distinct(h, cover)
+        return unless_distinct(h, lambda x: _let(joined(x, reach), lambda y: doubled(y, 2 * reach)))
 
     few = F.size(word_array) < width
-    return F.when(few, F.lit(0).cast("long")).otherwise(_let(F.transform(word_array, lambda w: F.xxhash64(w)), from_hashes))
+    return F.when(few, F.lit(0).cast("long")).otherwise(_let(F.transform(word_array, lambda w: F.xxhash64(w)), lambda h: doubled(h, 1)))
 
 
-def stop_word_pattern() -> str:
+def stop_words_in(word_array: Column) -> Column:
+    """Words that are stop words once marks at their ends are taken off."""
     every = sorted({w for ws in STOP_WORDS.values() for w in ws})
-    return r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(every) + r")(?![\p{L}\p{N}])"
+    return F.size(F.filter(word_array, lambda w: F.lower(F.btrim(w, F.lit(MARKS))).isin(every)))
 
 
 def measures(text: Column) -> Column:
     """One struct with the base counts and the counts behind the ratios."""
     t = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def build(w: Column) -> Column:
         return _let(
@@ -101,7 +112,7 @@ def measures(text: Column) -> Column:
                 (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
                 repeated_words(w).alias("n_repeat_words"),
                 F.size(ls).cast("long").alias("n_lines"),
-                F.regexp_count(t, F.lit(stop_word_pattern())).cast("long").alias("n_stop_words"),
+                stop_words_in(w).cast("long").alias("n_stop_words"),
                 (F.length(t) - F.length(F.translate(t, "!", ""))).cast("long").alias("n_bangs"),
             ),
         )
