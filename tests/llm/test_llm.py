@@ -370,3 +370,25 @@ def test_pipeline(spark, odd, none):
 def test_pipeline_run(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert 50 < len(got) <= 600 and max(Counter(r["doc_id"] for r in got).values()) <= 3
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_sql(spark, name):
+    from pathlib import Path
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in Path(SF).glob("*.parquet"):
+        con.sql(f"create view {f.stem} as select * from read_parquet('{f}')")
+    df = queries.queries()[name](spark, SF)
+    rel = con.sql(queries.oracle_sql()[name])
+    cols = sorted(df.columns)
+    at = [rel.columns.index(c) for c in cols]
+
+    def plain(v):
+        return round(v, 6) if isinstance(v, float) else v
+
+    assert sorted(rel.columns) == cols
+    want = sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
+    assert sorted((tuple(plain(x) for x in r) for r in df.select(*cols).collect()), key=repr) == want
