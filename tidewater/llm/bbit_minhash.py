@@ -46,7 +46,7 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np
 class Shingler:
     """Sets of hashed word shingles, minima, signatures and band keys."""
 
-    def __init__(self, width: int = 4, bands: int = 32, rows: int = 4, bits: int = 2, seed: int = 1, cache_limit: int = 400_000):
+    def __init__(self, width: int = 4, bands: int = 32, rows: int = 4, bits: int = 2, seed: int = 1, cache_limit: int = 200_000):
         self.width, self.bands, self.rows, self.bits, self.cache_limit = width, bands, rows, bits, cache_limit
         rng = np.random.default_rng(seed)
         k = bands * rows

@@ -97,7 +97,7 @@ class PairRanks:
         return np.where(ok, self.rank[hit], -1), np.where(ok, self.out[hit], -1)
 
 
-def merge_words(flat: np.ndarray, lengths: np.ndarray, ranks: PairRanks, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def merge_words(flat: np.ndarray, lengths: np.ndarray, ranks: PairRanks, cells: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Final ids of words, one after the other, and their numbers of ids.
 
     *flat* has the initial ids of all words, *lengths* their numbers."""
@@ -184,7 +184,7 @@ class TreeBPE:
     merging and decoding are done here.
     """
 
-    def __init__(self, path: str, cache_limit: int = 400_000):
+    def __init__(self, path: str, cache_limit: int = 240_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
