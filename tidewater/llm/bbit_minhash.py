@@ -24,7 +24,8 @@ Cuts of the lineage are tables in the shared folder.  Defined results: null and
 empty texts and texts of white space have empty sets and are linked with
 nothing; a text with fewer words than a shingle has one shingle, the whole
 sequence; a null doc_id is never a representative (a row whose class has no
-other id keeps a null component); repeated rows share a component.  Columns
+other id keeps a null component); repeated rows share a component; rows with
+one doc_id and different texts are one node of the link graph.  Columns
 other than doc_id and text are not looked at.
 """
 
