@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import discard, materialise
+from tidewater.llm.shared import discard, materialise, release_memory
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -132,6 +132,7 @@ def _digest(table: Iterable[pa.RecordBatch], maker: Shingler) -> Iterator[pa.Rec
                 [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists(sigs, words_per), lists(bands, maker.bands)],
                 ["doc_id", "n_shingles", "key", "sig", "bands"],
             )
+        release_memory()
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

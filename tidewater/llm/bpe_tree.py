@@ -35,6 +35,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.shared import release_memory
+
 #: Cuts that part no piece and no composed character: at spaces and line ends,
 #: and between Latin letters and an ASCII mark after them.
 _CHUNK = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?![^\\W_]|[^\\x00-\\x7f])|[^ \\n]+")
@@ -184,7 +186,7 @@ class TreeBPE:
     merging and decoding are done here.
     """
 
-    def __init__(self, path: str, cache_limit: int = 240_000):
+    def __init__(self, path: str, cache_limit: int = 160_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -313,6 +315,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
         for a in range(0, len(texts), 512):
             for n, ids, decoded in encoder.digest(texts.iloc[a : a + 512]):
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()))
+        release_memory()
         return pd.DataFrame(rows, columns=["n", "ids", "decoded"])
 
     return docs.select("doc_id", run(F.col("text")).alias("r")).select("doc_id", F.col("r.n").alias("n_tokens"), F.col("r.ids").alias("ids_sha256"), F.col("r.decoded").alias("decoded_sha256"))

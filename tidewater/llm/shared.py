@@ -9,6 +9,7 @@ one machine) a private folder is created.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -80,3 +81,12 @@ def word_count(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release_memory() -> None:
+    """Give freed pages of this process back to the system, where the C library
+    can: Python workers live on, and executors have little room beside the JVM."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
