@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.llm.shared import release_memory
+
 #: Hashed trigram space.
 DIM = 1 << 16
 UNDETERMINED = "und"
@@ -118,6 +120,7 @@ def _count_trigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if text is not None and lang is not None:
                 grams, c = trigrams(text)
                 totals.setdefault(lang, np.zeros(DIM, np.int64))[grams] += c
+        release_memory()
     for lang, row in totals.items():
         found = np.flatnonzero(row)
         yield pd.DataFrame({"lang": lang, "gram": found.astype(np.int64), "n": row[found]})
@@ -157,6 +160,7 @@ def predictor(model: MixtureModel):
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         out = [model.predict(t) for t in texts]
+        release_memory()
         return pd.DataFrame({"lang": [x[0] for x in out], "score": [x[1] for x in out]}, columns=["lang", "score"])
 
     return predict

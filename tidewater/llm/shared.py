@@ -14,6 +14,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,8 +85,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def release_memory() -> None:
-    """Give freed pages of this process back to the system, where the C library
-    can: Python workers live on, and executors have little room beside the JVM."""
+    """Give freed pages of this process, Arrow's pool included, back to the
+    system, where the C library can: Python workers live on, and executors have
+    little room beside the JVM."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
