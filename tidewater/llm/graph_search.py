@@ -7,7 +7,8 @@ by id and a vector with a third of all rows is harmless.  Nodes are dealt to
 shards of about ``shard_rows`` by a hash; each shard's graph is built by one
 task (bounded by the shard size) and written to the shared folder.  A query is
 sent to every shard, its results are scored exactly in double precision and
-merged by rank.
+merged by rank.  The lists of dimensions and of shards are written tables, so
+Spark broadcasts them only where their known size allows it.
 
 Largest inner product is turned into nearness on a sphere: vectors get one more
 component that brings them to a common length, queries get zero there.
@@ -204,7 +205,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     nodes = materialise(_nodes(usable, k + 1), "nodes")
     length2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     dims = nodes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(length2).alias("r2"))
-    dims = dims.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("n") / shard_rows)).cast("int"))
+    dims = materialise(dims.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("n") / shard_rows)).cast("int")), "dims")
 
     def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         dim, shard = key
@@ -223,7 +224,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
             f.write(blob.getvalue())
         return pd.DataFrame({"dim": [dim], "shard": [shard], "nodes": [len(vec)]})
 
-    placed = nodes.withColumn("dim", F.size("v")).join(F.broadcast(dims.select("dim", "shards", "r2")), "dim")
+    placed = nodes.withColumn("dim", F.size("v")).join(dims.select("dim", "shards", "r2"), "dim")
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
     index = materialise(placed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, nodes long"), "graph-index")
 
@@ -252,8 +253,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
                     yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
     queries = usable.where(F.col("id") % every == 0).groupBy("id", "v").agg(F.lit(1).alias("one")).select("id", "v", F.size("v").alias("dim"))
-    asked = queries.join(F.broadcast(dims.select("dim", "shards")), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    asked = asked.join(F.broadcast(index.select("dim", "shard")), ["dim", "shard"])
+    asked = queries.join(dims.select("dim", "shards"), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    asked = asked.join(index.select("dim", "shard"), ["dim", "shard"])
     asked = asked.select("dim", "shard", "id", "v").repartition("dim", "shard", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("dim", "shard", "id")
     hits = asked.mapInPandas(look_up, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
