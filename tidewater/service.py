@@ -172,7 +172,9 @@ class Engine:
             hits = fusion.rrf(legs, limit=limit)
         else:
             hits = words if mode == "keyword" else near
-        return fusion.hydrate(hits, chunks, "id", "text", F.col("file_path"))
+        # the join with the texts keeps no order
+        best = F.asc("score") if mode == "keyword" and order == "relevance" else F.desc("score")
+        return fusion.hydrate(hits, chunks, "id", "text", F.col("file_path")).orderBy(best, "id")
 
     def search_file(self, path: str, query: str, limit: int = 10, case_sensitive: bool = False) -> DataFrame:
         """Matching lines of one file, extracted if its format needs it."""
