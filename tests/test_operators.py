@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from tidewater.functions import text as T
 from tidewater.operators import chunker, fusion, lines, match
+from tidewater.plans import catalog
 from tidewater.settings import Settings, local_limit, parse_duration
 from tidewater.sources import extract, web
 
@@ -39,6 +40,26 @@ def test_chunks_without_overlap_keep_all_content(text, target):
     assert strip("".join(c.text for c in chunker.chunk_text(text, target, 0))) == strip(text)
 
 
+def test_registered_chunks_have_no_cap(spark, tmp_path):
+    numbered = "\n\n".join(f"paragraph {k} " + f"w{k} " * 700 for k in range(80))
+    docs = [(5, "x" * 3072 * 40), (10, numbered), (15, "short")]
+    frame = spark.createDataFrame([(i, t, "en", "s") for i, t in docs], "doc_id long, text string, lang string, source string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in catalog.queries()["chunk_documents"](spark, str(tmp_path)).orderBy("chunk_index").collect():
+        got.setdefault(int(r["file_path"].split("doc-")[1].split(".")[0]), []).append(r)
+    # each piece after the first gives its carry and the carry with the piece
+    assert [len(r["text"]) for r in got[5]] == [3072, *[256, 256 + 1 + 3072] * 39]
+    assert len(got[10]) > 64 and len(got[15]) == 1
+    for i, text in docs[1:]:
+        assert {w for r in got[i] for w in r["text"].split()} == set(text.split())
+        assert [r["chunk_index"] for r in got[i]] == list(range(len(got[i])))
+    assert max(r["line_end"] for r in got[10]) == len(numbered.split("\n"))
+    stats = {r["file_path"]: (r["n_chunks"], r["bytes"], r["last_line"]) for r in catalog.queries()["chunk_stats"](spark, str(tmp_path)).collect()}
+    want = {rows[0]["file_path"]: (len(rows), sum(len(r["text"].encode()) for r in rows), max(r["line_end"] for r in rows)) for rows in got.values()}
+    assert stats == want
+
+
 @pytest.mark.parametrize("line,yes", [("# a", True), ("###### a", True), ("####### a", False), ("#a", False), ("  ## a", True), ("#", True), ("a # b", False)])
 def test_heading(spark, line, yes):
     assert spark.createDataFrame([(line,)], "l string").select(T.is_heading(T.F.col("l"))).first()[0] is yes

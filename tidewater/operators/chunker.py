@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TARGET, OVERLAP, MAX_CHUNKS, MAX_LINE = 3072, 256, 64, 1 << 20
+TARGET, OVERLAP, MAX_LINE = 3072, 256, 1 << 20
 _HEADING = re.compile(rb"[ \t]*#{1,6}(?:[ \t]|\Z)")
 _SPACE = b" \t\r\n\x0b\x0c"
 
@@ -183,8 +183,9 @@ def chunk_text(text: str, target: int = TARGET, overlap: int = OVERLAP, drop_car
     return out
 
 
-def chunk_documents(docs: DataFrame, path_col: str, text_col: str, target: int = TARGET, overlap: int = OVERLAP, cap: int = MAX_CHUNKS) -> DataFrame:
-    """id, file_path, chunk_index, line_start, line_end, text; one Arrow pass, no shuffle."""
+def chunk_documents(docs: DataFrame, path_col: str, text_col: str, target: int = TARGET, overlap: int = OVERLAP, cap: int | None = None) -> DataFrame:
+    """id, file_path, chunk_index, line_start, line_end, text; one Arrow pass, no
+    shuffle.  All chunks of a text come out unless *cap* is set."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
