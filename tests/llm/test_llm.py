@@ -131,6 +131,28 @@ def test_grammar_round_trip_and_random_access(base):
             assert (shard.tokens(k, first, count) == s[first : first + count]).all()
 
 
+@pytest.mark.parametrize("base", [50257, 70000])
+def test_grammar_rounds_end_when_no_pair_is_frequent(base):
+    rng = np.random.default_rng(4)
+    passages = [rng.integers(0, base, 200) for _ in range(30)]
+    seqs = [np.concatenate([*(passages[k] for k in rng.integers(0, 30, 40)), rng.integers(0, 40, 100), [2]]) for _ in range(60)]
+    starts = np.concatenate(([0], np.cumsum([len(s) for s in seqs])))
+    symbols, symbol_start, rules, lengths = token_grammar.compress(np.concatenate(seqs).astype("<u4"), starts[:-1], base)
+    cuts = symbol_start.tolist()
+    docs = [symbols[a:b].tolist() for a, b in zip(cuts, cuts[1:])]
+    assert max(Counter(p for d in docs for p in itertools.pairwise(d)).values()) < 16 and lengths.max() >= 200
+    assert set(range(base, base + len(rules))) <= {*symbols.tolist(), *rules.ravel().tolist()}
+    for d, s in zip(docs, seqs):
+        assert (token_grammar.expand(np.array(d), base, rules, lengths) == s).all()
+
+
+def test_grammar_stops_when_the_symbols_are_used_up():
+    seq = np.tile(np.arange(50), 100).astype("<u4")
+    symbols, _, rules, lengths = token_grammar.compress(seq, np.array([0]), (1 << 16) - 5)
+    assert len(rules) == 5 and symbols.max() < 1 << 16
+    assert (token_grammar.expand(symbols, (1 << 16) - 5, rules, lengths) == seq).all()
+
+
 def brute_components(rows, width, percent=80):
     def shingles(t):
         w = (t or "").encode().lower().split()

@@ -4,7 +4,10 @@ Documents are encoded and written in ascending doc_id order into shard files.
 Within a shard, frequent adjacent id pairs are replaced by new symbols, round
 after round; a round counts all pairs, takes the most frequent ones and
 replaces their occurrences from left to right (an occurrence that overlaps one
-already taken waits for the next round).  No symbol crosses the border of a
+already taken waits for the next round).  Rounds end when no pair occurs
+``least`` times, or when the symbol space is full: with ids that fit in 16 bits
+a shard has room for ``2**16 - base`` rules, as one more would double the size
+of every symbol.  No symbol crosses the border of a
 document, so a document, or any token range of it, is decoded on its own: the
 expansion length of every symbol is stored with the rules.
 
@@ -232,7 +235,7 @@ def _encoder(path: str) -> ChunkEncoder:
     return _loaded[path]
 
 
-def compress(seq: np.ndarray, starts: np.ndarray, base: int, rounds: int = 4, per_round: int = 2048, least: int = 16):
+def compress(seq: np.ndarray, starts: np.ndarray, base: int, per_round: int = 2048, least: int = 16):
     """Re-Pair over one shard.
 
     *seq*: token ids below *base*; *starts*: index of each document's first
@@ -247,7 +250,7 @@ def compress(seq: np.ndarray, starts: np.ndarray, base: int, rounds: int = 4, pe
     last[-1:] = True
     rules: list[np.ndarray] = []
     lengths = np.empty(0, np.uint32)
-    for _ in range(rounds):
+    while True:
         first_new = base + len(lengths)
         free = min(per_round, limit - first_new)
         if len(seq) < 2 or free <= 0:
@@ -287,6 +290,8 @@ def compress(seq: np.ndarray, starts: np.ndarray, base: int, rounds: int = 4, pe
         in_run = np.arange(len(at)) - np.repeat(run, np.diff(np.concatenate((run, [len(at)]))))
         taken = in_run % 2 == 0
         at, rule = at[taken], rule[taken]
+        used = np.bincount(rule, minlength=len(chosen)) > 0  # others get no rule and are counted again
+        chosen, rule = chosen[used], (np.cumsum(used) - 1)[rule]
         left, right = (chosen >> key_type(shift)).astype(np.int64), (chosen & key_type((1 << shift) - 1)).astype(np.int64)
         known = np.concatenate((np.ones(1, np.uint32), lengths))
         rules.append(np.stack([left, right], axis=1).astype(np.uint32))
