@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import sqlite3
@@ -131,6 +132,17 @@ def test_extractors():
     assert r.extract(".html", b"<p></p>")[0] == "error"
 
 
+def test_registered_extraction_is_whole(spark, tmp_path):
+    text = "".join(f"word{k} é " for k in range(60_000))
+    assert len(text.encode()) > 600_000
+    spark.createDataFrame([(5, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.queries()["extract_text"](spark, str(tmp_path)).first()["hash"] == hashlib.sha256(text.encode()).hexdigest()
+    spark.createDataFrame([(1, "u", f"<p>{text}</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert catalog.queries()["html_to_text"](spark, str(tmp_path)).first()["text"] == text.strip()
+    cut = extract.extract_files(spark.createDataFrame([("a.txt", text)], "path string, content string"), "path", "content", 1000).first()
+    assert len(cut["text"].encode()) <= 1000 and cut["warn"] == ["cut at 1000 bytes"]
+
+
 def test_web_client(spark):
     calls, naps = [], []
 

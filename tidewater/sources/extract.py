@@ -287,9 +287,9 @@ def dispatch(files: DataFrame, path_col: str, registry: Registry | None = None)
     return files.select(F.col(path_col).alias("path"), F.element_at(table, extension(F.col(path_col))).alias("format"))
 
 
-def extract_files(files: DataFrame, path_col: str, content_col: str, max_bytes: int = 512 * 1024, registry: Registry | None = None) -> DataFrame:
-    """path, status, text, warn, error; the text is cut at *max_bytes* bytes,
-    on a character's border."""
+def extract_files(files: DataFrame, path_col: str, content_col: str, max_bytes: int | None = None, registry: Registry | None = None) -> DataFrame:
+    """path, status, text, warn, error; the text is whole, or with *max_bytes*
+    cut at so many bytes, on a character's border."""
     registry = registry or Registry()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,7 +298,7 @@ def extract_files(files: DataFrame, path_col: str, content_col: str, max_bytes:
             for path, data in zip(frame["path"], frame["content"]):
                 dot = re.search(r"\.[^./]*$", path or "")
                 status, text, warn, error = registry.extract(dot[0] if dot else "", bytes(data or b""))
-                if text is not None and len(raw := text.encode("utf-8", "replace")) > max_bytes:
+                if max_bytes is not None and text is not None and len(raw := text.encode("utf-8", "replace")) > max_bytes:
                     text, warn = raw[:max_bytes].decode("utf-8", "ignore"), [*warn, f"cut at {max_bytes} bytes"]
                 rows.append((path, status, text, warn, error))
             yield pd.DataFrame(rows, columns=["path", "status", "text", "warn", "error"])
