@@ -300,6 +300,23 @@ def test_block_text():
         block_text.extract(hostile)
 
 
+def test_names_do_not_count_around_or_on_the_article():
+    text = "<p>The text of the page and all that is in it.</p>"
+    want = "The text of the page and all that is in it."
+    side = "<div class=sidebar><p>Other things that are not in the text.</p></div>"
+    for page in (
+        f"<div class='layout has-sidebar'><article>{text}</article>{side}</div>",
+        f"<article class='post no-sidebar'>{text}{side}</article>{side}",
+        f"<main id=print>{text}</main>",
+        f"<main><div class='layout has-sidebar'><article>{text}{side}</article></div></main>",
+        f"<div class=popular><div class=share><div role=main class=legal>{text}</div></div>{side}</div>",
+        f"<article><div class=print itemprop=articleBody>{text}</div></article>",
+        f"<article>{text}<div class=comments><article class=comment><p>Thanks for all of it.</p></article></div></article>",
+    ):
+        assert block_text.extract(page) == want, page
+    block_text.extract("<div class=ad>" * 20000 + "<article>x" + "<div class=ad><main>y" * 20000)
+
+
 def test_block_text_on_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = block_text.extract_pages(pages).collect()

@@ -64,10 +64,10 @@ MAX_LINKS = 0.5
 class Block:
     """A run of text between block borders, with what surrounds it."""
 
-    __slots__ = ("bad", "heading", "links", "parts", "places")
+    __slots__ = ("bad", "heading", "links", "named", "parts", "places")
 
-    def __init__(self, bad: bool, places: frozenset, heading: bool):
-        self.bad, self.places, self.heading = bad, places, heading
+    def __init__(self, bad: bool, named: list | None, places: frozenset, heading: bool):
+        self.bad, self.named, self.places, self.heading = bad, named, places, heading
         self.parts: list[str] = []
         self.links = 0
 
@@ -80,45 +80,55 @@ def _names(attributes: dict[str, str]) -> set[str]:
     return set(_NAME.findall(_CAMEL.sub(" ", joined).lower())) | set(_NAME.findall(joined.lower())) if joined.strip() else set()
 
 
-def _judge_element(tag: str, raw: str, places: frozenset) -> tuple[bool, frozenset]:
-    """Whether an element is boilerplate by declaration, and which content
+def _judge_element(tag: str, raw: str, places: frozenset) -> tuple[bool, bool, bool, frozenset]:
+    """Whether an element is boilerplate by declaration, whether it is by the
+    words of its class and id, whether it is an article or main element (an
+    article within an article, such as a comment, is none), and which content
     places its inside belongs to."""
     if tag in OUTSIDE:
-        return True, places
+        return True, False, False, places
     attributes = {}
     if raw and not raw.isspace():
         for m in _ATTRIBUTE.finditer(raw):
             attributes.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
     names, role = _names(attributes), attributes.get("role", "").lower()
     inside = bool(places)
-    bad = bool(names & OUTSIDE_NAMES) or role in OUTSIDE_ROLES
-    bad |= (tag == "header" or bool(names & HEADER_NAMES)) and not inside
+    named = bool(names & OUTSIDE_NAMES) or (bool(names & HEADER_NAMES) and not inside)
+    bad = role in OUTSIDE_ROLES or (tag == "header" and not inside)
     bad |= "hidden" in attributes or attributes.get("aria-hidden") == "true"
     bad |= "display:none" in attributes.get("style", "").replace(" ", "").lower()
     if tag in ("body", "html"):
-        return False, places
-    if tag == "article" or attributes.get("itemprop") == "articleBody":
+        return False, False, False, places
+    body, main = attributes.get("itemprop") == "articleBody", tag == "main" or role == "main"
+    core = body or main or (tag == "article" and "article" not in places)
+    if tag == "article" or body:
         places |= {"article"}
-    if tag == "main" or role == "main":
+    if main:
         places |= {"main"}
     if names & CONTENT_NAMES and tag not in INLINE:
         places |= {"content"}
-    return bad, places
+    return bad, named, core, places
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order."""
+    """The blocks of a page in order.
+
+    Words in class and id do not count on an element that is or contains an
+    article or main element.  An element that they name is a list of the named
+    one around it and whether it is so lifted; those around a lifted one are
+    lifted too, so the innermost decides."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, frozenset]] = []
+    stack: list[tuple[str, bool, list | None, frozenset]] = []
+    named: list | None = None
     bad, places, heading, anchor = False, frozenset(), False, 0
-    current = Block(bad, places, heading)
+    current = Block(bad, named, places, heading)
     own_bad = False  # of a paragraph-like element that is not on the stack
 
     def border() -> None:
         nonlocal current
         if current.parts:
             out.append(current)
-        current = Block(bad or own_bad, places, heading)
+        current = Block(bad or own_bad, named, places, heading)
 
     def add(text: str) -> None:
         if text:
@@ -157,7 +167,7 @@ def blocks(page: str) -> list[Block]:
         if tag in ("p", "hr") or re.fullmatch(r"h[1-6]", tag):
             own_bad, heading = False, False
             if not closing:
-                own_bad, _ = _judge_element(tag, m[3], places)
+                own_bad = any(_judge_element(tag, m[3], places)[:2])
                 heading = tag[0] == "h" and tag != "hr"
             border()
             continue
@@ -165,19 +175,27 @@ def blocks(page: str) -> list[Block]:
             continue
         own_bad, heading = False, False
         if not closing:
-            stack.append((tag, bad, places))
-            here, places = _judge_element(tag, m[3], places)
+            stack.append((tag, bad, named, places))
+            here, by_name, core, places = _judge_element(tag, m[3], places)
             bad = bad or here
+            if by_name:
+                named = [named, False]
+            outer = named if core else None
+            while outer is not None and not outer[1]:
+                outer[1] = True
+                outer = outer[0]
             if tag in ("nav", "footer", "article", "main", "aside", "section", "div"):
                 anchor = 0
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    _, bad, places = stack[k]
+                    _, bad, named, places = stack[k]
                     del stack[k:]
                     break
         border()
     border()
+    for b in out:
+        b.bad = b.bad or (b.named is not None and not b.named[1])
     return out
 
 
