@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -260,6 +261,35 @@ def test_bpe_tree_matches_the_library(docs, odd, none):
     assert bpe_tree.encode_digests(none, path).count() == 0 and bpe_tree.encode(odd, path).count() == odd.count()
 
 
+def test_bpe_tree_fuzz():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), bpe_tree.TreeBPE(path)
+    rng = random.Random(1)
+    alphabet = [*map(chr, range(0x250)), *"İ" * 10, *"ſẞΣσςﬁ日\u0338\u0307\u0301’", *".,!'\" " * 20]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 12))) for _ in range(5000)]
+    changed = [c for c in map(chr, range(0x3000)) if c.isalpha() and len(library.normalizer.normalize_str(c)) != 1]
+    texts += [c + mark + "a" for c in changed for mark in ".',!-"]
+    for t in texts:
+        assert encoder.encode(t) == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_bpe_tree_on_long_words():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), bpe_tree.TreeBPE(path)
+    rng = random.Random(2)
+    for t in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)), "x" * 5001, "aab" * 700 + "aaa" * 300, "é" * 900):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert encoder.encode(t) == want
+        encoder.cache.clear()
+        encoder.ranks.ordered = not encoder.ranks.ordered  # one merge a round gives the same
+        assert encoder.encode(t[:2000]) == library.encode(t[:2000], add_special_tokens=False).ids
+        encoder.ranks.ordered = not encoder.ranks.ordered
+
+
 def test_graph_search(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))

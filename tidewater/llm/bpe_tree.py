@@ -6,14 +6,18 @@ child, so the root is the leftmost lowest-rank merge.  A merge changes three
 leaves, each updated along its path to the root in logarithmic time, until the
 root is empty.
 
-Words are short and many, so the trees of all words of one length class are
-kept as rows of one matrix and advanced together: every round takes each word's
-root, merges, and updates the paths.  A word of any length has its own class,
-so long words need memory in proportion to their length only.
-
-Texts are cut at spaces and line ends and before marks; what lies between is encoded once per
-worker and remembered, so a text costs one look-up for each of its words.  The
-memory has two halves of ``cache_limit / 2`` entries each; when the younger is
+Most words are short and many, so the trees of all words of one length class
+are kept as rows of one matrix and advanced together: every round takes each
+word's root, merges, and updates the paths.  A long word has a tree of its own,
+and a round takes from it, left to right, all merges of the root's rank, where
+the merge table allows it: no merge may come before one that makes its parts,
+so none of the new pairs can rank lower.  Memory is in proportion to a word's
+length.
+
+Texts are cut at spaces and line ends and between Latin letters and an ASCII
+mark after them, except letters whose normal form does not end in a letter; what
+lies between is encoded once per worker and remembered, so a text costs one
+look-up for each of its words.  The memory has two halves of ``cache_limit / 2`` entries each; when the younger is
 full it becomes the older, and what was not used meanwhile is forgotten.
 
 Defined results: a null text is encoded as the empty text (no ids); the
@@ -27,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Iterable
 
 import numpy as np
@@ -37,11 +42,20 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.shared import release_memory
 
-#: Cuts that part no piece and no composed character: at spaces and line ends,
-#: and between Latin letters and an ASCII mark after them.
-_CHUNK = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?![^\\W_]|[^\\x00-\\x7f])|[^ \\n]+")
 _NONE = np.iinfo(np.int64).max
-_POS_BITS = 24
+_NO_RANK = np.iinfo(np.int32).max
+_POS_BITS = 32
+#: Words of more initial ids than this have a tree of their own.
+_LONG = 512
+
+
+def chunk_pattern(normal=lambda c: c) -> re.Pattern:
+    """Cuts that part no piece and no composed character: at spaces and line
+    ends, and between Latin letters and an ASCII mark after them.  Letters that
+    *normal* makes end in something else, such as a combining mark that a mark
+    after it would join, are not cut after."""
+    letters = [chr(k) for k in range(0x250) if chr(k).isalpha() and unicodedata.category(normal(chr(k))[-1:] or "0").startswith("L")]
+    return re.compile(f"[{''.join(letters)}]++(?![^\\W_]|[^\\x00-\\x7f])|[^ \\n]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -69,6 +83,10 @@ class PairRanks:
         keys = (pairs[:, 0].astype(np.int64) << 32) | pairs[:, 1].astype(np.int64)
         slots = self._slot(keys)
         self.probes = 1
+        made = np.full(int(max(pairs.max(initial=0), merged.max(initial=0))) + 1, -1, np.int64)
+        np.maximum.at(made, merged, np.arange(len(merged)))
+        #: whether every merge comes after all merges that make its parts
+        self.ordered = bool((made[pairs].max(axis=1, initial=-1) < np.arange(len(pairs))).all())
         for rank, (key, slot) in enumerate(zip(keys.tolist(), slots.tolist())):
             step = 0
             while self.keys[slot] not in (-1, key):
@@ -108,8 +126,13 @@ def merge_words(flat: np.ndarray, lengths: np.ndarray, ranks: PairRanks, cells:
     depth[(1 << depth) < lengths] += 1
     left = lengths.copy()
     ids = flat.copy()  # a word's final ids are put where it began
-    for d in np.unique(depth[lengths > 1]):
-        members = np.flatnonzero((depth == d) & (lengths > 1))
+    for k in np.flatnonzero(lengths > _LONG):
+        done = _merge_long(flat[start[k] : start[k] + lengths[k]], ranks)
+        left[k] = len(done)
+        ids[start[k] : start[k] + len(done)] = done
+    many = (lengths > 1) & (lengths <= _LONG)
+    for d in np.unique(depth[many]):
+        members = np.flatnonzero((depth == d) & many)
         block = max(1, cells >> int(d))
         for a in range(0, len(members), block):
             part = members[a : a + block]
@@ -161,6 +184,59 @@ def _merge_block(flat, start, lengths, width: int, ranks: PairRanks) -> tuple[np
     return ids[there], there.sum(axis=1)
 
 
+def _merge_long(flat: np.ndarray, ranks: PairRanks) -> np.ndarray:
+    """Final ids of one word: a round takes every merge of the root's rank, or
+    only the leftmost where the merge table is not in order."""
+    n = len(flat)
+    depth = max(1, int(n - 1).bit_length())
+    width = 1 << depth
+    ids = flat.astype(np.int32)
+    following, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    tree = np.full(2 * width, _NO_RANK, np.int32)
+
+    def leaf(at: np.ndarray) -> np.ndarray:
+        value = np.full(len(at), _NO_RANK, np.int32)
+        has = np.flatnonzero((ids[at] >= 0) & (following[at] < n))
+        if len(has):
+            rank, _ = ranks.find(ids[at[has]].astype(np.int64), ids[following[at[has]]].astype(np.int64))
+            value[has] = np.where(rank >= 0, rank, _NO_RANK)
+        return value
+
+    for a in range(0, n, 1 << 16):
+        part = np.arange(a, min(n, a + (1 << 16)))
+        tree[width + part] = leaf(part)
+    level = width
+    while level > 1:
+        level //= 2
+        tree[level : 2 * level] = np.minimum(tree[2 * level : 4 * level : 2], tree[2 * level + 1 : 4 * level : 2])
+    while (rank := tree[1]) != _NO_RANK:
+        node = np.ones(1, np.int64)
+        for _ in range(depth):  # down to the leaves of this rank, from left to right
+            node = np.stack((2 * node, 2 * node + 1), axis=1).ravel()
+            node = node[tree[node] == rank]
+        at = node - width if ranks.ordered else node[:1] - width
+        nxt = following[at]
+        run = np.flatnonzero(np.concatenate(([True], at[1:] != nxt[:-1])))
+        if len(run) < len(at):  # overlapping pairs: every second one, from the left
+            in_run = np.arange(len(at)) - np.repeat(run, np.diff(np.concatenate((run, [len(at)]))))
+            at, nxt = at[in_run % 2 == 0], nxt[in_run % 2 == 0]
+        _, merged = ranks.find(ids[at[:1]].astype(np.int64), ids[nxt[:1]].astype(np.int64))
+        ids[at], ids[nxt] = merged[0], -1
+        after = following[nxt]
+        following[at] = after
+        inner = after < n
+        before[after[inner]] = at[inner]
+        prev = before[at]
+        changed = np.unique(np.concatenate((nxt, at, prev[prev >= 0])))
+        node = changed.astype(np.int64) + width
+        tree[node] = leaf(changed)
+        for _ in range(depth):
+            node >>= 1
+            node = node[np.concatenate(([True], node[1:] != node[:-1]))]
+            tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+    return ids[ids >= 0]
+
+
 def _leaf(ids, row, at, nxt, width, ranks) -> np.ndarray:
     value = np.full(len(row), _NONE, np.int64)
     has = np.flatnonzero(nxt < width)
@@ -201,6 +277,7 @@ class TreeBPE:
         pairs = np.array([(self.vocab[a], self.vocab[b]) for a, b in merges], np.int64).reshape(-1, 2)
         self.ranks = PairRanks(pairs, np.array([self.vocab[a + b] for a, b in merges], np.int64))
         self.normalizer = Tokenizer.from_file(path).normalizer
+        self.chunks = chunk_pattern(self.normalizer.normalize_str) if self.normalizer else chunk_pattern()
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # the library's \s is the Unicode property, so U+001C to U+001F are not in it
         self.pieces = regex.compile(split.replace(r"^\s\p", r"^\p{White_Space}\p"))
@@ -258,7 +335,7 @@ class TreeBPE:
 
     def digest(self, texts: Iterable[str | None]) -> list[tuple[int, str, str]]:
         """For each text: number of ids, ids as decimals joined by a space, decoded text."""
-        split = [_CHUNK.findall(t or "") for t in texts]
+        split = [self.chunks.findall(t or "") for t in texts]
         if len(self.cache) > self.cache_limit:  # what is still used comes back from the older half
             self.older, self.cache = self.cache, {}
         new = []
