@@ -132,26 +132,54 @@ def test_grammar_round_trip_and_random_access(base):
             assert (shard.tokens(k, first, count) == s[first : first + count]).all()
 
 
-@pytest.mark.parametrize("base", [50257, 70000])
-def test_grammar_rounds_end_when_no_pair_is_frequent(base):
+def apart(symbols):
+    """The number of times that each pair occurs without overlap with itself."""
+    counts, before = Counter(), None
+    for k, pair in enumerate(itertools.pairwise(symbols)):
+        if pair[0] == pair[1] and before == (pair, k - 1):
+            before = None
+            continue
+        before = (pair, k)
+        counts[pair] += 1
+    return counts
+
+
+@pytest.mark.parametrize("base", [50257, (1 << 16) - 5, (1 << 24) - 5])
+def test_grammar_rounds_end_when_no_pair_occurs_twice(base):
     rng = np.random.default_rng(4)
-    passages = [rng.integers(0, base, 200) for _ in range(30)]
+    passages = [rng.integers(0, 50000, 200) for _ in range(30)]
     seqs = [np.concatenate([*(passages[k] for k in rng.integers(0, 30, 40)), rng.integers(0, 40, 100), [2]]) for _ in range(60)]
+    seqs += [np.full(n, 7) for n in (1, 2, 3, 700)] + [np.tile([5, 5, 6], 99)]
     starts = np.concatenate(([0], np.cumsum([len(s) for s in seqs])))
     symbols, symbol_start, rules, lengths = token_grammar.compress(np.concatenate(seqs).astype("<u4"), starts[:-1], base)
     cuts = symbol_start.tolist()
     docs = [symbols[a:b].tolist() for a, b in zip(cuts, cuts[1:])]
-    assert max(Counter(p for d in docs for p in itertools.pairwise(d)).values()) < 16 and lengths.max() >= 200
+    assert max(sum(map(apart, docs), Counter()).values()) == 1 and lengths.max() >= 200
     assert set(range(base, base + len(rules))) <= {*symbols.tolist(), *rules.ravel().tolist()}
     for d, s in zip(docs, seqs):
         assert (token_grammar.expand(np.array(d), base, rules, lengths) == s).all()
+    blob, n = token_grammar.shard_bytes(list(range(len(seqs))), [s.astype("<u4").tobytes() for s in seqs], base)
+    shard = token_grammar.Shard(blob)
+    assert (shard.all_tokens() == np.concatenate(seqs)).all() and all((shard.document(k) == s).all() for k, s in enumerate(seqs))
+
 
+def test_cuts_with_one_value_are_told_apart(monkeypatch):
+    from tokenizers import Tokenizer
 
-def test_grammar_stops_when_the_symbols_are_used_up():
-    seq = np.tile(np.arange(50), 100).astype("<u4")
-    symbols, _, rules, lengths = token_grammar.compress(seq, np.array([0]), (1 << 16) - 5)
-    assert len(rules) == 5 and symbols.max() < 1 << 16
-    assert (token_grammar.expand(symbols, (1 << 16) - 5, rules, lengths) == seq).all()
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    word, swap = "a", str.maketrans("ab", "ba")
+    while len(word) < 1024:  # these two have one value for any coefficients of the polynomial
+        word += word.translate(swap)
+    encoder = token_grammar.ChunkEncoder(path)
+    texts = [f"x {word} y", f"x {word.translate(swap)} y", word, word.translate(swap)]
+    for t, got in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    encoder = token_grammar.ChunkEncoder(path)
+    encoder.coefficient[:] = 1  # all cuts of one length have one value
+    texts = ["one two six ten", "ten one", "two, six. ten"]
+    for t, got in zip(texts * 2, encoder.encode(texts) + encoder.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def brute_components(rows, width, percent=80):

@@ -2,12 +2,11 @@
 
 Documents are encoded and written in ascending doc_id order into shard files.
 Within a shard, frequent adjacent id pairs are replaced by new symbols, round
-after round; a round counts all pairs, takes the most frequent ones and
-replaces their occurrences from left to right (an occurrence that overlaps one
-already taken waits for the next round).  Rounds end when no pair occurs
-``least`` times, or when the symbol space is full: with ids that fit in 16 bits
-a shard has room for ``2**16 - base`` rules, as one more would double the size
-of every symbol.  No symbol crosses the border of a
+after round: a round counts all pairs (occurrences that do not overlap) and takes
+those that are at most ``share`` times rarer than the most frequent; where two of
+them overlap, the more frequent pair goes first and the other waits for the next
+round.  Rounds end when no pair occurs ``least`` times, twice by default; there
+is no other bound on rounds, pairs or symbols.  No symbol crosses the border of a
 document, so a document, or any token range of it, is decoded on its own: the
 expansion length of every symbol is stored with the rules.
 
@@ -20,11 +19,13 @@ doc_id         int64[docs]              ids, ascending (null ids first, flagged)
 is_null        uint8[docs]              1 where the doc_id is null
 token_start    int64[docs + 1]          prefix sums of token counts
 symbol_start   int64[docs + 1]          prefix sums of symbol counts
-rules          uint32[rules, 2]         left and right symbol of each rule
+rules          uint8[2 * rules, width]  left and right symbol of each rule
 lengths        uint32[rules]            tokens that each rule expands to
-symbols        uint16 or uint32[...]    compressed sequence
+symbols        uint8[..., width]        compressed sequence
 =============  =======================  =========================================
 
+A symbol takes ``width`` little-endian bytes, as few as the largest needs.
+
 Defined results: a null text is the empty text; every document ends with
 ``END`` even if empty; equal doc_ids stay together in one range and are ordered
 by text; null doc_ids come first; a document longer than a shard has a shard of
@@ -70,10 +71,10 @@ class ChunkEncoder:
     with any other white space or a special string, or longer than a batch, is
     encoded whole.
 
-    Cuts are found on the bytes of a batch of texts at once; a cut is known by
-    the 64-bit value of a polynomial with random coefficients over its bytes,
-    looked up in an open-addressing table of fixed size that is emptied when it
-    is half full.
+    Cuts are found on the bytes of a batch of texts at once; a cut is looked up
+    by a 64-bit value of its bytes in an open-addressing table of fixed size that
+    is emptied when it is half full, and its bytes are compared with those of the
+    entry: where they differ, the library encodes it anew.
     """
 
     def __init__(self, path: str, batch_bytes: int = 1 << 19, table_bits: int = 20):
@@ -102,6 +103,8 @@ class ChunkEncoder:
         self.first, self.count = np.zeros(size // 2 + 1, np.int64), np.zeros(size // 2 + 1, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
+        self.place, self.size = np.zeros(size // 2 + 1, np.int64), np.zeros(size // 2 + 1, np.int64)
+        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -145,8 +148,8 @@ class ChunkEncoder:
             open_, slot = open_[on], slot[on]
         return out
 
-    def _remember(self, value: np.ndarray, ids: list[bytes]) -> np.ndarray:
-        """Store new distinct values; returns their entries."""
+    def _remember(self, value: np.ndarray, cuts: list[bytes], ids: list[bytes]) -> np.ndarray:
+        """Store new distinct values with their bytes; returns their entries."""
         mask, number = len(self.keys) - 1, self.known + np.arange(len(value))
         counts = np.array([len(x) // 4 for x in ids], np.int64)
         total = self.used + int(counts.sum())
@@ -154,7 +157,13 @@ class ChunkEncoder:
             self.flat = np.concatenate((self.flat, np.zeros(max(total, 2 * len(self.flat)) - len(self.flat), np.uint32)))
         self.flat[self.used : total] = np.frombuffer(b"".join(ids), "<u4")
         self.first[number], self.count[number] = self.used + np.cumsum(counts) - counts, counts
-        self.used, self.known = total, self.known + len(value)
+        sizes = np.array([len(c) for c in cuts], np.int64)
+        total_raw = self.raw_used + int(sizes.sum())
+        if total_raw > len(self.raw):
+            self.raw = np.concatenate((self.raw, np.zeros(max(total_raw, 2 * len(self.raw)) - len(self.raw), np.uint8)))
+        self.raw[self.raw_used : total_raw] = np.frombuffer(b"".join(cuts), np.uint8)
+        self.place[number], self.size[number] = self.raw_used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.known, self.raw_used = total, self.known + len(value), total_raw
         slot, rest = (value >> np.uint64(64 - self.table_bits)).astype(np.int64), np.arange(len(value))
         while len(rest):
             free = rest[self.keys[slot[rest]] == 0]
@@ -193,10 +202,17 @@ class ChunkEncoder:
                 return self._batch(raws)
             at = miss[one]
             cuts = [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
-            entry[miss] = self._remember(new, self._encode_cuts(cuts))[back]
-        count = self.count[entry]
+            entry[miss] = self._remember(new, cuts, self._encode_cuts(cuts))[back]
+        at_raw = np.minimum(np.repeat(self.place[entry] - start, end - start) + np.arange(len(buf)), self.raw_used - 1)
+        differs = np.flatnonzero(np.add.reduceat(self.raw[at_raw] != buf, start, dtype=np.int64) + (self.size[entry] != end - start))
+        count, first, flat = self.count[entry], self.first[entry], self.flat
+        if len(differs):
+            anew = self._library([joined[a:b].decode("utf-8") for a, b in zip(start[differs].tolist(), end[differs].tolist())])
+            count[differs] = [len(x) // 4 for x in anew]
+            first[differs] = len(flat) + np.cumsum(count[differs]) - count[differs]
+            flat = np.concatenate((flat, np.frombuffer(b"".join(anew), "<u4")))
         ends = np.cumsum(count)
-        ids = self.flat[np.repeat(self.first[entry] - (ends - count), count) + np.arange(ends[-1])].astype("<u4").tobytes()
+        ids = flat[np.repeat(first - (ends - count), count) + np.arange(ends[-1])].astype("<u4").tobytes()
         cut = np.concatenate(([0], ends))[np.searchsorted(start, edges)] * 4
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
@@ -235,81 +251,111 @@ def _encoder(path: str) -> ChunkEncoder:
     return _loaded[path]
 
 
-def compress(seq: np.ndarray, starts: np.ndarray, base: int, per_round: int = 2048, least: int = 16):
+_HASH_BITS = 20
+
+
+def _slot(pair: np.ndarray) -> np.ndarray:
+    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
+
+
+def _marked(pairs: np.ndarray) -> np.ndarray:
+    """A table that holds for the slots of these pairs."""
+    table = np.zeros(1 << _HASH_BITS, bool)
+    table[_slot(pairs)] = True
+    return table
+
+
+def _win(spot: np.ndarray, priority: np.ndarray) -> np.ndarray:
+    """Which of the pairs at ascending places *spot* are taken: those that no
+    overlapping pair of higher priority takes first, in two turns."""
+    taken, open_ = np.zeros(len(spot), bool), np.arange(len(spot))
+    for _ in range(2):
+        if not len(open_):
+            break
+        near, p = np.diff(spot[open_]) == 1, priority[open_]
+        win = np.ones(len(open_), bool)
+        win[1:] &= ~(near & (p[:-1] > p[1:]))
+        win[:-1] &= ~(near & (p[1:] > p[:-1]))
+        taken[open_[win]] = True
+        out = win.copy()
+        out[1:] |= near & win[:-1]
+        out[:-1] |= near & win[1:]
+        open_ = open_[~out]
+    return taken
+
+
+def compress(seq: np.ndarray, starts: np.ndarray, base: int, least: int = 2, share: int = 4):
     """Re-Pair over one shard.
 
     *seq*: token ids below *base*; *starts*: index of each document's first
-    token.  Returns (symbols, symbol starts, rules, lengths).  Where ids and
-    rules fit in 16 bits, a pair is one 32-bit key.
+    token.  Returns (symbols, symbol starts, rules, lengths).
+
+    Of the pairs chosen in a round the most frequent one gets all its places, so
+    every round makes a rule.  A pair that occurs once can only occur again
+    beside a new symbol; until then its place is not counted any more.
     """
-    narrow = base < 1 << 16
-    shift, key_type, limit = (16, np.uint32, 1 << 16) if narrow else (31, np.uint64, 1 << 31)
-    seq = seq.astype(np.uint16 if narrow else np.uint32)
+    seq = np.asarray(seq).astype(np.uint32)
     last = np.zeros(len(seq), bool)  # the last symbol of each document
     last[np.asarray(starts[1:]) - 1] = True
     last[-1:] = True
+    fresh = ~last  # places whose pair may occur again
     rules: list[np.ndarray] = []
     lengths = np.empty(0, np.uint32)
-    while True:
-        first_new = base + len(lengths)
-        free = min(per_round, limit - first_new)
-        if len(seq) < 2 or free <= 0:
-            break
-        pair = (seq[:-1].astype(key_type) << key_type(shift)) | seq[1:]
-        inner = ~last[:-1]
-        ordered = np.sort(pair[inner])
-        edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
-        edge = np.concatenate(([0], edge, [len(ordered)])) if len(ordered) else np.zeros(1, np.int64)
+    while len(at := np.flatnonzero(fresh)) > 1:
+        twins = np.flatnonzero(seq[at] == seq[at + 1])
+        if len(twins):  # in a run of one symbol every second pair counts, from the left
+            run = np.flatnonzero(np.concatenate(([True], np.diff(at[twins]) != 1)))
+            in_run = np.arange(len(twins)) - np.repeat(run, np.diff(np.concatenate((run, [len(twins)]))))
+            at = np.delete(at, twins[in_run % 2 == 1])
+        pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        ordered = np.sort(pair)
+        edge = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]))
         count = np.diff(edge)
-        good = np.flatnonzero(count >= least)
-        if not len(good):
+        top = int(count.max())
+        if top < least:
             break
-        if len(good) > free:
-            good = np.sort(good[np.argpartition(-count[good], free - 1)[:free]])
+        good = np.flatnonzero(count >= max(least, -(-top // share)))
         chosen, often = ordered[edge[good]], count[good]
-        del ordered
-        # direct look-up by a 16-bit hash of the pair; of pairs with one slot the most frequent stays
-        slots = _slot(chosen)
-        order = np.argsort(often, kind="stable")
-        owner = np.full(1 << 16, -1, np.int32)
-        owner[slots[order]] = order
-        kept = np.flatnonzero(owner[slots] == np.arange(len(chosen)))
-        number = np.full(1 << 16, -1, np.int32)
-        number[slots[kept]] = np.arange(len(kept))
-        chosen = chosen[kept]
-        at = np.flatnonzero((number >= 0)[_slot(pair)] & inner)
-        there = pair[at]
-        del pair
-        rule = number[_slot(there)]
-        same = chosen[rule] == there
-        at, rule = at[same], rule[same]
-        if not len(at):
-            break
-        # runs of adjacent hits: every second one is taken, from the left
-        run = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
-        in_run = np.arange(len(at)) - np.repeat(run, np.diff(np.concatenate((run, [len(at)]))))
-        taken = in_run % 2 == 0
+        slot = _slot(pair)
+        fresh[at[~_marked(ordered[edge[:-1][count > 1]])[slot]]] = False
+        likely = np.flatnonzero(_marked(chosen)[slot])
+        rule = np.minimum(np.searchsorted(chosen, pair[likely]), len(chosen) - 1)
+        hit = chosen[rule] == pair[likely]
+        at, rule = at[likely[hit]], rule[hit]
+        priority = np.empty(len(chosen), np.int64)
+        priority[np.argsort(often, kind="stable")] = np.arange(len(chosen))
+        taken = _win(at, priority[rule])
         at, rule = at[taken], rule[taken]
-        used = np.bincount(rule, minlength=len(chosen)) > 0  # others get no rule and are counted again
-        chosen, rule = chosen[used], (np.cumsum(used) - 1)[rule]
-        left, right = (chosen >> key_type(shift)).astype(np.int64), (chosen & key_type((1 << shift) - 1)).astype(np.int64)
+        used = np.bincount(rule, minlength=len(chosen)) >= least  # others get no rule and are counted again
+        at, rule, chosen = at[used[rule]], (np.cumsum(used) - 1)[rule[used[rule]]], chosen[used]
+        left, right = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
         known = np.concatenate((np.ones(1, np.uint32), lengths))
+        first_new = base + len(lengths)
         rules.append(np.stack([left, right], axis=1).astype(np.uint32))
         lengths = np.concatenate((lengths, known[np.maximum(left - base + 1, 0)] + known[np.maximum(right - base + 1, 0)]))
-        seq[at] = (first_new + rule).astype(seq.dtype)
+        seq[at] = first_new + rule
+        last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        last[at] = last[at + 1]
-        seq, last = seq[stay], last[stay]
+        seq, last, fresh = seq[stay], last[stay], fresh[stay]
+        new = np.flatnonzero(seq >= first_new)
+        fresh[new] = True
+        fresh[np.maximum(new - 1, 0)] = True
+        fresh &= ~last
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     symbol_starts = np.concatenate(([0], np.flatnonzero(last) + 1))
     return seq, symbol_starts, table, lengths
 
 
-def _slot(pair: np.ndarray) -> np.ndarray:
-    if pair.dtype == np.uint32:
-        return (pair * np.uint32(0x9E3779B1)) >> np.uint32(16)
-    return (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+def pack(values: np.ndarray, width: int) -> np.ndarray:
+    """uint32 values as rows of their *width* low bytes."""
+    return np.ascontiguousarray(values, "<u4").reshape(-1, 1).view(np.uint8)[:, :width]
+
+
+def unpack(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), 4), np.uint8)
+    out[:, : rows.shape[1]] = rows
+    return out.view("<u4").ravel()
 
 
 def expand(symbols: np.ndarray, base: int, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -341,15 +387,19 @@ class Shard:
             count = int(np.prod(shape))
             setattr(self, name, np.frombuffer(blob, kind, count, at).reshape(shape))
             at += count * np.dtype(kind).itemsize
+        self.rules = unpack(self.rules).reshape(-1, 2)
+
+    def _run(self, k: int) -> np.ndarray:
+        return unpack(self.symbols[self.symbol_start[k] : self.symbol_start[k + 1]])
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document."""
-        return expand(self.symbols[self.symbol_start[k] : self.symbol_start[k + 1]], self.base, self.rules, self.lengths)
+        return expand(self._run(k), self.base, self.rules, self.lengths)
 
     def tokens(self, k: int, first: int, count: int) -> np.ndarray:
         """*count* ids of the k-th document from its id number *first* on; only
         the symbols that cover them are expanded."""
-        run = self.symbols[self.symbol_start[k] : self.symbol_start[k + 1]].astype(np.int64)
+        run = self._run(k).astype(np.int64)
         width = np.ones(len(run), np.int64)
         width[run >= self.base] = self.lengths[run[run >= self.base] - self.base]
         ends = np.cumsum(width)
@@ -358,7 +408,7 @@ class Shard:
         return expand(run[a:b], self.base, self.rules, self.lengths)[skip : skip + count]
 
     def all_tokens(self) -> np.ndarray:
-        return expand(self.symbols, self.base, self.rules, self.lengths)
+        return expand(unpack(self.symbols), self.base, self.rules, self.lengths)
 
 
 def shard_bytes(doc_ids: list[int | None], tokens: list[bytes], base: int) -> tuple[bytes, int]:
@@ -367,13 +417,14 @@ def shard_bytes(doc_ids: list[int | None], tokens: list[bytes], base: int) -> tu
     token_start = np.concatenate(([0], np.cumsum(counts)))
     seq = np.frombuffer(b"".join(tokens), "<u4")
     symbols, symbol_start, rules, lengths = compress(seq, token_start[:-1], base)
+    width = max(1, (int(base + len(rules)).bit_length() + 7) // 8)
     arrays = {
         "doc_id": np.array([0 if d is None else d for d in doc_ids], "<i8"),
         "token_start": token_start.astype("<i8"),
         "symbol_start": symbol_start.astype("<i8"),
-        "rules": rules.astype("<u4"),
         "lengths": lengths.astype("<u4"),
-        "symbols": symbols.astype("<u2" if base + len(rules) <= 1 << 16 else "<u4"),
+        "rules": pack(rules.ravel(), width),
+        "symbols": pack(symbols, width),
         "is_null": np.array([d is None for d in doc_ids], "u1"),
     }
     head = json.dumps({"base": base, "arrays": [[k, a.dtype.str, a.shape] for k, a in arrays.items()]}).encode()
