@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -375,6 +376,46 @@ def test_names_do_not_count_around_or_on_the_article():
     block_text.extract("<div class=ad>" * 20000 + "<article>x" + "<div class=ad><main>y" * 20000)
 
 
+PROSE = "the one and the other of it all in that way. " * 12
+
+
+@pytest.mark.parametrize("name", ["post has-sidebar", "post no-comments", "story related-enabled", "ad-free", "legal-news", "print-view"])
+@pytest.mark.parametrize("element", ["article", "div", "section"])
+def test_names_that_only_contain_a_word(name, element):
+    text, want = f"<p>{PROSE}</p><p>Tail.</p>", PROSE.strip() + " Tail."
+    replies = f"<div class=comments><p>{'I think that this is the best of the lot and all. ' * 3}</p></div>"
+    notice = f"<div class='cookie-notice'><p>{'We use the cookies of the site and that is all of it. ' * 9}</p></div>"
+    for attribute in (f"class='{name}'", f"id='{name}'"):
+        assert block_text.extract(f"<nav><a href=x>Home</a></nav>{notice}<{element} {attribute}>{text}</{element}>") == want
+        assert block_text.extract(f"<{element} {attribute}>{text}{replies}</{element}>{notice}") == want
+
+
+def test_density_length_and_links_decide():
+    few = "zyx wvu tsr qpo nml kji hgf edc " * 9
+    links = "<p><a href=x>" + PROSE + "</a></p>"
+    assert block_text.extract(f"<div><p>{PROSE}</p></div><div><p>{few}</p></div>") == PROSE.strip()
+    assert block_text.extract(f"<article><p>{PROSE}</p>{links}</article>") == PROSE.strip()
+    assert block_text.extract(f"<article><p>{PROSE}</p><p>{few}</p></article>") == f"{PROSE.strip()} {few.strip()}"  # open, next to text
+    assert block_text.extract(f"<article><p>{PROSE}</p><p>a</p><p>b</p>{links}<p>{few}</p></article>") == f"{PROSE.strip()} a b"  # b lies as near to text
+    assert block_text.extract(f"<p>x <math><mi>y</mi></math> z</p><p>{PROSE}</p>") == f"x y z {PROSE.strip()}"
+
+
+def test_block_text_is_linear_in_unmatched_tags():
+    for page in ("<b1></x>" * 100_000, "<div>" * 50_000 + "</p></q>" * 50_000, "<div></span></section>" * 50_000, "<div class=legal-x>" * 50_000 + "a" + "</div>" * 50_000):
+        start = time.process_time()
+        block_text.extract(page)
+        assert time.process_time() - start < 10
+
+
+def test_pages_without_an_article_element(spark):
+    same = total = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        plain = r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        same += block_text.extract(plain) == block_text.extract(r["html"])
+        total += 1
+    assert same > 0.75 * total  # lists of made-up words without stop words are not told from boilerplate
+
+
 def test_block_text_on_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = block_text.extract_pages(pages).collect()

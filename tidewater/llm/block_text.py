@@ -1,11 +1,18 @@
 """Main text of HTML pages by two-pass block rules.
 
 A page is cut into blocks of text.  The first pass decides blocks by link
-density, length and stop-word density, and by what their surroundings declare
-(navigation, header, footer, aside, form, notice, advert and comment elements
-are boilerplate; what lies in the page's own article element is text unless it
-is mostly links).  Short blocks stay ambiguous; the second pass gives each the
-label of its nearest decided neighbour.
+density, length and stop-word density: mostly links is boilerplate; long enough
+with enough stop words is text; long with few is boilerplate, or open if it lies
+in the page's own article element; short blocks and headings are open.  The
+second pass gives each open block the label of its nearest decided neighbour
+(declared boilerplate is none, as it lies between the blocks of a text).
+
+What surrounds a block is one more feature.  Navigation, header, footer, aside,
+form and hidden elements hold no text, nor does what lies outside the page's own
+article element where there is one.  Words in class and id are evidence only:
+plain names of boilerplate (an advert, a notice, comments) count; other names
+with such a word in them do not count on an element that is or contains an
+article, nor where four fifths of the prose around is in that element.
 
 Defined results: null and empty pages have no text; unclosed and cut-off markup
 is closed by the end of the page; an unfinished tag at the very end is markup;
@@ -18,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,23 +42,27 @@ _NAME = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
 
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas noembed noframes xmp".split())
+RAW = frozenset("script style noscript template textarea title iframe object canvas noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br area source track".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br area source track svg math".split()
 )
 #: Elements that are never main text.
 OUTSIDE = frozenset("nav footer aside form menu dialog button select fieldset head".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form status note".split())
-#: Words in class and id attributes that mark an element as boilerplate.
-OUTSIDE_NAMES = frozenset(
+#: Words that, as a name in class or id or a part of one, name boilerplate.
+PLAIN_NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner nav navbar
-    navigation menu breadcrumb breadcrumbs sidebar side aside footer masthead topbar toolbar cookie cookies consent gdpr
-    notice notices notification alert popup modal overlay newsletter subscribe subscription signup login signin search
-    form share sharing social related recommended recommendations trending popular widget widgets comment comments
-    commentlist reply replies respond discussion disqus copyright legal disclaimer pagination pager skip print""".split()
+    navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr
+    notice notices notification alert popup modal overlay newsletter subscribe subscription signup login signin
+    comment comments commentlist reply replies respond discussion disqus copyright disclaimer pagination pager""".split()
 )
+#: Words that may also name an article.
+LOOSE_NAMES = frozenset("side search form share sharing social related recommended recommendations trending popular widget widgets legal skip print".split())
+#: Beside these a plain name says what an element has or lacks, not what it is.
+MODIFIERS = frozenset("has no not non with without is show hide free enabled disabled view news on off".split())
 HEADER_NAMES = frozenset("header head pagehead siteheader".split())
+NONE, LOOSE, PLAIN = 0, 1, 2
 CONTENT_NAMES = frozenset("article articlebody content post entry story main maincontent bodytext".split())
 _ALL_STOP = frozenset(w for words in STOP_WORDS.values() for w in words)
 
@@ -64,62 +76,86 @@ MAX_LINKS = 0.5
 class Block:
     """A run of text between block borders, with what surrounds it."""
 
-    __slots__ = ("bad", "heading", "links", "named", "parts", "places")
+    __slots__ = ("bad", "density", "heading", "links", "named", "parts", "places", "text")
 
-    def __init__(self, bad: bool, named: list | None, places: frozenset, heading: bool):
+    def __init__(self, bad: bool, named: Named | None, places: frozenset, heading: bool):
         self.bad, self.named, self.places, self.heading = bad, named, places, heading
         self.parts: list[str] = []
         self.links = 0
 
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+    def measure(self) -> None:
+        """Text, share of its letters in links, share of stop words."""
+        self.text = " ".join("".join(self.parts).split())
+        self.links /= max(1, sum(map(len, self.text.split())))
+        words = _WORD.findall(self.text.lower()) if not self.bad and len(self.text) >= SHORT_BELOW else []
+        self.density = sum(w in _ALL_STOP for w in words) / max(1, len(words))
 
 
-def _names(attributes: dict[str, str]) -> set[str]:
+def _names(attributes: dict[str, str]) -> list[set[str]]:
+    """The words of each name in class and id."""
     joined = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return set(_NAME.findall(_CAMEL.sub(" ", joined).lower())) | set(_NAME.findall(joined.lower())) if joined.strip() else set()
+    return [set(_NAME.findall(_CAMEL.sub(" ", name).lower())) | set(_NAME.findall(name.lower())) for name in joined.split()]
 
 
-def _judge_element(tag: str, raw: str, places: frozenset) -> tuple[bool, bool, bool, frozenset]:
-    """Whether an element is boilerplate by declaration, whether it is by the
-    words of its class and id, whether it is an article or main element (an
-    article within an article, such as a comment, is none), and which content
-    places its inside belongs to."""
+def _evidence(names: list[set[str]], inside: bool) -> int:
+    """How strongly the names of an element speak for boilerplate."""
+    found = NONE
+    for words in names:
+        if words & PLAIN_NAMES or (words & HEADER_NAMES and not inside):
+            found = max(found, LOOSE if words & MODIFIERS else PLAIN)
+        elif words & LOOSE_NAMES:
+            found = max(found, LOOSE)
+    return found
+
+
+def _judge_element(tag: str, raw: str, places: frozenset) -> tuple[bool, int, bool, frozenset]:
+    """Whether an element is boilerplate by declaration, how strongly its names
+    say so, whether it is an article or main element (an article within an
+    article, such as a comment, is none), and which content places its inside
+    belongs to."""
     if tag in OUTSIDE:
-        return True, False, False, places
+        return True, NONE, False, places
     attributes = {}
     if raw and not raw.isspace():
         for m in _ATTRIBUTE.finditer(raw):
             attributes.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
     names, role = _names(attributes), attributes.get("role", "").lower()
     inside = bool(places)
-    named = bool(names & OUTSIDE_NAMES) or (bool(names & HEADER_NAMES) and not inside)
     bad = role in OUTSIDE_ROLES or (tag == "header" and not inside)
     bad |= "hidden" in attributes or attributes.get("aria-hidden") == "true"
     bad |= "display:none" in attributes.get("style", "").replace(" ", "").lower()
     if tag in ("body", "html"):
-        return False, False, False, places
+        return False, NONE, False, places
     body, main = attributes.get("itemprop") == "articleBody", tag == "main" or role == "main"
     core = body or main or (tag == "article" and "article" not in places)
     if tag == "article" or body:
         places |= {"article"}
     if main:
         places |= {"main"}
-    if names & CONTENT_NAMES and tag not in INLINE:
+    named = _evidence(names, inside)
+    if tag not in INLINE and named < PLAIN and any(words & CONTENT_NAMES for words in names):
         places |= {"content"}
     return bad, named, core, places
 
 
+class Named:
+    """An element whose names speak for boilerplate, within another or none."""
+
+    __slots__ = ("lifted", "outer", "prose", "strength")
+
+    def __init__(self, outer: Named | None, strength: int):
+        self.outer, self.strength, self.lifted, self.prose = outer, strength, False, 0
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order.
 
-    Words in class and id do not count on an element that is or contains an
-    article or main element.  An element that they name is a list of the named
-    one around it and whether it is so lifted; those around a lifted one are
-    lifted too, so the innermost decides."""
+    Names do not count on an element that is or contains an article or main
+    element: it is lifted, and so are those around it."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, list | None, frozenset]] = []
-    named: list | None = None
+    stack: list[tuple[str, bool, Named | None, frozenset]] = []
+    opened: Counter = Counter()
+    named: Named | None = None
     bad, places, heading, anchor = False, frozenset(), False, 0
     current = Block(bad, named, places, heading)
     own_bad = False  # of a paragraph-like element that is not on the stack
@@ -161,13 +197,14 @@ def blocks(page: str) -> list[Block]:
             anchor = 0 if closing else 1
             continue
         if tag in INLINE:
-            if tag == "br":
+            if tag in ("br", "svg", "math"):
                 current.parts.append(" ")
             continue
         if tag in ("p", "hr") or re.fullmatch(r"h[1-6]", tag):
             own_bad, heading = False, False
             if not closing:
-                own_bad = any(_judge_element(tag, m[3], places)[:2])
+                here, strength, *_ = _judge_element(tag, m[3], places)
+                own_bad = here or strength == PLAIN
                 heading = tag[0] == "h" and tag != "hr"
             border()
             continue
@@ -176,59 +213,95 @@ def blocks(page: str) -> list[Block]:
         own_bad, heading = False, False
         if not closing:
             stack.append((tag, bad, named, places))
-            here, by_name, core, places = _judge_element(tag, m[3], places)
+            opened[tag] += 1
+            here, strength, core, places = _judge_element(tag, m[3], places)
             bad = bad or here
-            if by_name:
-                named = [named, False]
+            if strength:
+                named = Named(named, strength)
             outer = named if core else None
-            while outer is not None and not outer[1]:
-                outer[1] = True
-                outer = outer[0]
+            while outer is not None and not outer.lifted:
+                outer.lifted = True
+                outer = outer.outer
             if tag in ("nav", "footer", "article", "main", "aside", "section", "div"):
                 anchor = 0
-        else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    _, bad, named, places = stack[k]
-                    del stack[k:]
+        elif opened[tag]:
+            while True:
+                name, bad, named, places = stack.pop()
+                opened[name] -= 1
+                if name == tag:
                     break
         border()
     border()
-    for b in out:
-        b.bad = b.bad or (b.named is not None and not b.named[1])
     return out
 
 
-def _first_pass(block: Block, text: str, home: str | None) -> int:
-    if block.bad or (home is not None and home not in block.places):
-        return BAD
-    letters = sum(map(len, text.split()))
-    if letters and block.links / letters > MAX_LINKS:
+def _weigh_names(found: list[Block]) -> None:
+    """Mark what lies in named elements as boilerplate, unless four fifths of
+    the prose that nothing else speaks against is in one of them."""
+    nodes: dict[Named, None] = {}
+    free = 0
+    for b in found:
+        named = b.named
+        while named is not None and named not in nodes:
+            nodes[named] = None
+            named = named.outer
+        if not b.bad and b.links <= MAX_LINKS and b.density >= STOP_LOW:
+            if b.named is None or b.named.lifted:
+                free += len(b.text)
+            elif b.named.strength == LOOSE:
+                b.named.prose += len(b.text)
+
+    def depth(node: Named) -> int:
+        return depths[node]
+
+    depths: dict[Named, int] = {}
+    for node in nodes:
+        way = []
+        while node is not None and node not in depths:
+            way.append(node)
+            node = node.outer
+        base = depths[node] if node is not None else 0
+        for k, n in enumerate(reversed(way)):
+            depths[n] = base + k + 1
+    for node in sorted(nodes, key=depth, reverse=True):
+        if node.strength == LOOSE and node.outer is not None:
+            node.outer.prose += node.prose
+    for node in sorted(nodes, key=depth):
+        # within a plain name nothing is lifted again
+        open_ = node.outer is None or node.outer.lifted
+        node.lifted = node.lifted or (open_ and node.strength == LOOSE and node.prose > 4 * free)
+    for b in found:
+        b.bad = b.bad or (b.named is not None and not b.named.lifted)
+
+
+def _first_pass(block: Block, home: str | None) -> int:
+    at_home = home is not None and home in block.places
+    if block.bad or block.links > MAX_LINKS or (home is not None and not at_home):
         return BAD
-    if len(text) < SHORT_BELOW or block.heading:
+    if len(block.text) < SHORT_BELOW or block.heading:
         return SHORT
-    words = _WORD.findall(text.lower())
-    density = sum(w in _ALL_STOP for w in words) / max(1, len(words))
-    if home is not None or density >= STOP_HIGH or (density >= STOP_LOW and len(text) >= LONG_FROM):
+    if block.density >= STOP_HIGH or (block.density >= STOP_LOW and (at_home or len(block.text) >= LONG_FROM)):
         return GOOD
-    return SHORT if density >= STOP_LOW else BAD
+    return SHORT if at_home or block.density >= STOP_LOW else BAD
 
 
 def extract(page: str | None) -> str:
     """The main text of a whole page."""
     if not page:
         return ""
-    found = [(b, t) for b in blocks(page) if (t := b.text())]
-    home = next((p for p in ("article", "main", "content") if any(p in b.places and not b.bad for b, _ in found)), None)
-    labels = [_first_pass(b, t, home) for b, t in found]
-    if home is not None:  # neighbours are looked for within the article, where nothing decided means text
-        within = [k for k, (b, _) in enumerate(found) if home in b.places and not b.bad]
-    else:
-        within = list(range(len(found)))
+    found = blocks(page)
+    for b in found:
+        b.measure()
+    found = [b for b in found if b.text]
+    _weigh_names(found)
+    home = next((p for p in ("article", "main", "content") if any(p in b.places and not b.bad for b in found)), None)
+    labels = [_first_pass(b, home) for b in found]
+    # neighbours are looked for in the article and past declared boilerplate; where nothing is decided all is text
+    within = [k for k, b in enumerate(found) if not b.bad and (home is None or home in b.places)]
     final = _inherit([labels[k] for k in within], GOOD)
     for k, label in zip(within, final):
         labels[k] = label
-    return " ".join(t for (_, t), label in zip(found, labels) if label == GOOD)
+    return " ".join(b.text for b, label in zip(found, labels) if label == GOOD)
 
 
 def _inherit(labels: list[int], default: int) -> list[int]:
