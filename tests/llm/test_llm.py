@@ -67,6 +67,48 @@ def test_language_mixture_proportions(docs):
     assert set(mix) >= {"en", "de"} and 0.3 < mix["en"] < 0.7
 
 
+def converged(model, grams, c, members):
+    """Log likelihood of a set of languages after very many steps."""
+    like = model.prob[grams][:, members]
+    pi = np.full(len(members), 1 / len(members))
+    for _ in range(2_000):
+        pi = pi * (like.T @ (c / (like @ pi))) / c.sum()
+    return pi, float(c @ np.log(like @ pi))
+
+
+def test_language_sets_match_all_subsets(docs):
+    model = language_mixture.fit(docs)
+    by_lang: dict = {}
+    for r in docs.where("lang is not null and length(text) > 1500").orderBy("doc_id").collect():
+        by_lang.setdefault(r["lang"], []).append(r["text"])
+    texts = [" ".join(by_lang[k][i][:n] for k, n in parts) for i in range(2) for parts in (
+        [("en", 900)], [("fr", 60)], [("en", 700), ("de", 500)], [("es", 300), ("fr", 900)], [("en", 400), ("de", 400), ("fr", 400)], [("en", 600), ("es", 90)], [(k, 350) for k in by_lang])]
+    for text in [*texts, "a", "x y", "der die the of"]:
+        grams, c = language_mixture.trigrams(text)
+        price, best = model.penalty * np.log(c.sum() + 1), None
+        for size in range(1, len(model.langs) + 1):
+            for members in itertools.combinations(range(len(model.langs)), size):
+                pi, ll = converged(model, grams, c, list(members))
+                if best is None or ll - price * (size - 1) > best[0]:
+                    best = (ll - price * (size - 1), {model.langs[k]: p for k, p in zip(members, pi)})
+        got = model.proportions(text)
+        assert set(got) == set(best[1]) and all(abs(got[k] - p) < 0.01 for k, p in best[1].items()), text
+
+
+def test_numbers_are_no_letters(docs):
+    model = language_mixture.fit(docs)
+    assert [model.predict(t) for t in ("½ ² 100", "Ⅷ ①", "٣ _", "")] == [("und", 0.0)] * 4 and model.predict("½ a")[0] != "und"
+
+
+def test_language_sample_is_bounded(spark):
+    one = next(i for i in range(99) if zlib.crc32(b"%d" % i) % 4 != 2)
+    rows = [(one, f"wort {i}", "de") for i in range(500)] + [(i, f"word {i}", "en") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_mixture.sample(df, rows_per_lang=64, salts=4)
+    counts = Counter(r["lang"] for r in sample.collect())
+    assert counts["de"] == 1 and 32 <= counts["en"] <= 64
+
+
 def test_ring_sharding(docs, odd, none):
     for df, n in ((docs, docs.count()), (odd, odd.count())):
         got = ring_sharding.shard(df).collect()
@@ -396,7 +438,7 @@ def test_density_length_and_links_decide():
     assert block_text.extract(f"<div><p>{PROSE}</p></div><div><p>{few}</p></div>") == PROSE.strip()
     assert block_text.extract(f"<article><p>{PROSE}</p>{links}</article>") == PROSE.strip()
     assert block_text.extract(f"<article><p>{PROSE}</p><p>{few}</p></article>") == f"{PROSE.strip()} {few.strip()}"  # open, next to text
-    assert block_text.extract(f"<article><p>{PROSE}</p><p>a</p><p>b</p>{links}<p>{few}</p></article>") == f"{PROSE.strip()} a b"  # b lies as near to text
+    assert block_text.extract(f"<article><p>{PROSE}</p><p>a</p><p>b</p>{links}<p>{few}</p></article>") == f"{PROSE.strip()} a"  # b and what follows lie nearer to the links
     assert block_text.extract(f"<p>x <math><mi>y</mi></math> z</p><p>{PROSE}</p>") == f"x y z {PROSE.strip()}"
 
 

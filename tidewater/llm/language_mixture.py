@@ -6,6 +6,11 @@ from the trigram likelihoods, and the set of languages is the one with the best
 penalised likelihood (log likelihood minus ``penalty * log(trigrams)`` for each
 language beyond the first), found by backward elimination.
 
+EM runs until the log likelihood is within ``tolerance`` of its maximum: the
+likelihood is concave in the proportions, so its largest partial derivative
+less the number of trigrams bounds what further steps can gain.  It also ends
+once that bound shows that neither this set nor a subset of it can win.
+
 Defined results:
 
 * null text or a text without any letter: language ``und``, score 0.0;
@@ -13,18 +18,19 @@ Defined results:
   letter is padded by a space on both sides;
 * no labelled row to learn from (empty table): every text is ``und``;
 * rows with a null ``lang`` or null ``text`` teach nothing; a null ``doc_id``
-  is not held out; repeated rows count as often as they occur;
+  is not held out; of rows that share lang and doc_id the smallest text teaches;
+* digits, numbers such as "½" or "Ⅷ" and marks are no letters;
 * texts are always read whole; only the text is an input of a prediction.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,7 +44,7 @@ _FOLD = bytes(
     (b + 32 if 65 <= b <= 90 else b) if (65 <= b <= 90 or 97 <= b <= 122 or b >= 128) else 32
     for b in range(256)
 )
-_HAS_LETTER = re.compile(r"[^\W\d_]")
+_HAS_LETTER = regex.compile(r"\p{L}")
 
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -63,23 +69,27 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 class MixtureModel:
     """Log probabilities of trigrams by language, and inference on one text."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray, alpha: float = 0.5, penalty: float = 4.0, steps: int = 15):
+    def __init__(self, langs: list[str], counts: np.ndarray, alpha: float = 0.5, penalty: float = 4.0, tolerance: float = 0.05):
         """*counts*: one row of DIM trigram counts for each language."""
-        self.langs, self.penalty, self.steps = list(langs), penalty, steps
+        self.langs, self.penalty, self.tolerance = list(langs), penalty, tolerance
         smoothed = counts.astype(np.float64) + alpha
         self.prob = np.ascontiguousarray((smoothed / smoothed.sum(axis=1, keepdims=True)).T) if langs else np.zeros((DIM, 0))
         self.log_prob = np.log(self.prob)
 
-    def _em(self, like: np.ndarray, c: np.ndarray, n: float) -> tuple[np.ndarray, float]:
-        """Proportions of the languages in *like*'s columns and the log likelihood."""
+    def _em(self, like: np.ndarray, c: np.ndarray, n: float, hopeless: float) -> tuple[np.ndarray, float] | None:
+        """Proportions of the languages in *like*'s columns and the log
+        likelihood; None once that cannot come above *hopeless*."""
         pi = np.full(like.shape[1], 1.0 / like.shape[1])
-        for _ in range(self.steps):
-            new = pi * (like.T @ (c / (like @ pi))) / n
-            done = np.abs(new - pi).max() < 1e-4
-            pi = new
-            if done:
-                break
-        return pi, float(c @ np.log(like @ pi))
+        while True:
+            mixed = like @ pi
+            slope = like.T @ (c / mixed)
+            gain = float(slope.max()) - n
+            ll = float(c @ np.log(mixed))
+            if ll + gain <= hopeless:
+                return None
+            if gain <= self.tolerance:
+                return pi, ll
+            pi = pi * slope / n
 
     def proportions(self, text: str | None) -> dict[str, float]:
         """Proportion of each language of the selected set; empty for ``und``."""
@@ -97,9 +107,10 @@ class MixtureModel:
         members = np.arange(len(self.langs))
         like = self.prob[grams]
         while len(members) > 1:
-            pi, ll = self._em(like[:, members], c, n)
-            if ll - price <= best_score:  # a subset of these has no better likelihood
+            found = self._em(like[:, members], c, n, best_score + price)
+            if found is None:  # no subset of these has a better likelihood, and all but one language cost
                 break
+            pi, ll = found
             if ll - price * (len(members) - 1) > best_score:
                 chosen, best_pi, best_score = members, pi, ll - price * (len(members) - 1)
             members = np.delete(members, int(np.argmin(pi)))
@@ -131,20 +142,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, rows_per_lang: int = 2048, salts: int = 64, **options) -> MixtureModel:
-    """Learn trigram counts from a bounded sample of labelled rows.
-
-    The bound is ``rows_per_lang`` rows of each language (those with the
-    smallest id hashes in each of ``salts`` hash buckets, so a language with a
-    third of all rows is never gathered in one task).  The sample's ids are a
-    table of at most ``rows_per_lang`` rows for each language; the model itself
-    has DIM counts for each language, the only thing that reaches the driver.
-    """
+def sample(docs: DataFrame, rows_per_lang: int = 2048, salts: int = 64) -> DataFrame:
+    """lang, text of at most *rows_per_lang* labelled rows of each language: the
+    ids with the smallest hashes in each of ``salts`` hash buckets (so a language
+    with a third of all rows is never gathered in one task), one row of each."""
     labelled = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    keyed = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(salts)))
+    keyed = labelled.distinct().select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(salts)))
     place = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))
-    chosen = keyed.withColumn("place", place).where(F.col("place") <= max(1, rows_per_lang // salts)).select("doc_id").distinct()
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    chosen = keyed.withColumn("place", place).where(F.col("place") <= max(1, rows_per_lang // salts)).select("lang", "doc_id")
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
+    return rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def fit(docs: DataFrame, rows_per_lang: int = 2048, salts: int = 64, **options) -> MixtureModel:
+    """Learn trigram counts from the bounded :func:`sample` of labelled rows.
+
+    Its ids are a table of at most ``rows_per_lang`` rows for each language; the
+    model itself has DIM counts for each language, the only thing that reaches
+    the driver."""
+    rows = sample(docs, rows_per_lang, salts)
     counted = rows.mapInPandas(_count_trigrams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = counted.toPandas()
     langs = sorted(found["lang"].unique())
@@ -154,12 +170,14 @@ def fit(docs: DataFrame, rows_per_lang: int = 2048, salts: int = 64, **options)
     return MixtureModel(langs, counts, **options)
 
 
-def predictor(model: MixtureModel):
-    """A column function: text -> struct(lang, score)."""
+def predictor(spark: SparkSession, model: MixtureModel):
+    """A column function: text -> struct(lang, score).  The model, about a
+    megabyte a language, is a broadcast variable, sent once to each executor."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        out = [model.predict(t) for t in texts]
+        out = [shared.value.predict(t) for t in texts]
         release_memory()
         return pd.DataFrame({"lang": [x[0] for x in out], "score": [x[1] for x in out]}, columns=["lang", "score"])
 
@@ -168,7 +186,7 @@ def predictor(model: MixtureModel):
 
 def identify(docs: DataFrame, model: MixtureModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of *docs*."""
-    p = predictor(model)
+    p = predictor(docs.sparkSession, model)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), p(F.col("text")).alias("p")).select(
         "doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score")
     )
@@ -177,6 +195,6 @@ def identify(docs: DataFrame, model: MixtureModel) -> DataFrame:
 def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """Rows of *docs*, all columns as they are, whose language is determined and
     dominant (score of at least *min_score*); the others go."""
-    p = predictor(fit(docs))
-    verdict = p(docs["text"])
-    return docs.withColumn("__tw_lang", verdict).where((F.col("__tw_lang.lang") != UNDETERMINED) & (F.col("__tw_lang.score") >= min_score)).drop("__tw_lang")
+    p = predictor(docs.sparkSession, fit(docs))
+    judged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), p(docs["text"]).alias("p"))
+    return judged.where((F.col("p.lang") != UNDETERMINED) & (F.col("p.score") >= min_score)).select("row.*")
