@@ -7,7 +7,10 @@ into one boolean expression over the measured ratios.
 Defined results: null and empty texts have zero for all counts and fail the
 base rule (fewer than 20 words); repeated rows are judged alike; very long
 texts are read whole; the filter keeps all columns as they are, whatever their
-names, since what it adds is one struct with a reserved name.
+names, in a struct of their own.  The stop words are those of the languages in
+``STOP_WORDS``: a text in a language that shares none of them has a ratio of 0
+and fails, so a corpus in other languages needs their words in that table, or a
+table of rules without that ratio.
 """
 
 from __future__ import annotations
@@ -152,5 +155,6 @@ def judge(docs: DataFrame, rules: list[tuple[str, str, float]] = RULES) -> DataF
 
 def keep_good(docs: DataFrame, rules: list[tuple[str, str, float]] = RULES) -> DataFrame:
     """The rows of *docs*, all columns as they are, that pass every rule."""
-    m = F.col("__tw_quality")
-    return docs.withColumn("__tw_quality", measures(docs["text"])).where(~base_failed(m) & compile_rules(m, rules)).drop("__tw_quality")
+    m = F.col("m")
+    measured = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), measures(docs["text"]).alias("m"))
+    return measured.where(~base_failed(m) & compile_rules(m, rules)).select("row.*")
