@@ -71,7 +71,7 @@ def converged(model, grams, c, members):
     """Log likelihood of a set of languages after very many steps."""
     like = model.prob[grams][:, members]
     pi = np.full(len(members), 1 / len(members))
-    for _ in range(2_000):
+    for _ in range(500):
         pi = pi * (like.T @ (c / (like @ pi))) / c.sum()
     return pi, float(c @ np.log(like @ pi))
 

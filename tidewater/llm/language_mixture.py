@@ -6,7 +6,8 @@ from the trigram likelihoods, and the set of languages is the one with the best
 penalised likelihood (log likelihood minus ``penalty * log(trigrams)`` for each
 language beyond the first), found by backward elimination.
 
-EM runs until the log likelihood is within ``tolerance`` of its maximum: the
+EM steps are lengthened (each factor to a growing power) as long as the
+likelihood grows, and run until the log likelihood is within ``tolerance`` of its maximum: the
 likelihood is concave in the proportions, so its largest partial derivative
 less the number of trigrams bounds what further steps can gain.  It also ends
 once that bound shows that neither this set nor a subset of it can win.
@@ -80,16 +81,22 @@ class MixtureModel:
         """Proportions of the languages in *like*'s columns and the log
         likelihood; None once that cannot come above *hopeless*."""
         pi = np.full(like.shape[1], 1.0 / like.shape[1])
+        reach, before, plain = 1.0, -np.inf, pi
         while True:
             mixed = like @ pi
+            ll = float(c @ np.log(mixed))
+            if ll < before:  # the longer step was too long: take the plain one
+                pi, reach, before = plain, 1.0, -np.inf
+                continue
             slope = like.T @ (c / mixed)
             gain = float(slope.max()) - n
-            ll = float(c @ np.log(mixed))
             if ll + gain <= hopeless:
                 return None
             if gain <= self.tolerance:
                 return pi, ll
-            pi = pi * slope / n
+            plain = pi * slope / n
+            pi = np.maximum(pi * (slope / n) ** reach, 1e-300)
+            pi, before, reach = pi / pi.sum(), ll, 1.5 * reach
 
     def proportions(self, text: str | None) -> dict[str, float]:
         """Proportion of each language of the selected set; empty for ``und``."""
