@@ -388,6 +388,57 @@ def test_graph_search(spark):
     assert len(few) == 2 and graph_search.search(df.limit(0)).count() == 0
 
 
+def brute_nearest(ids, mat, k=20):
+    out = {}
+    for q in range(len(ids)):
+        if ids[q] % 20 == 0:
+            score = mat @ mat[q]
+            out[ids[q]] = [i for _, i in sorted((-s, i) for s, i in zip(score, ids) if i != ids[q])[:k]]
+    return out
+
+
+def recall_of(df, ids, mat, **options):
+    got: dict = {}
+    for r in graph_search.search(df, **options).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = brute_nearest(ids, mat)
+    assert set(got) == set(want) and all(len(set(got[q])) == len(want[q]) for q in want)
+    return np.mean([len(set(got[q]) & set(want[q])) / len(want[q]) for q in want])
+
+
+@pytest.mark.parametrize("kind", ["outlier", "norms", "tiny", "clusters"])
+def test_graph_search_with_unequal_norms(spark, kind):
+    rng = np.random.default_rng(5)
+    mat = rng.normal(size=(4000, 32))
+    mat /= np.linalg.norm(mat, axis=1, keepdims=True)
+    if kind == "outlier":
+        mat[7] *= 1e6
+    elif kind == "norms":
+        mat *= 10.0 ** rng.uniform(0, 6, (4000, 1))
+    elif kind == "tiny":
+        mat[:2000] *= 1e-150
+        mat[11] *= 1e150
+    else:
+        mat = np.repeat(mat[:40], 100, axis=0) + 0.05 * rng.normal(size=(4000, 32))
+    ids = list(range(4000))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, mat)], "vec_id long, embedding array<double>")
+    # no recall asked for, so what the graphs find is seen
+    assert recall_of(df, ids, mat, shard_rows=1024, recall=0.0) >= 0.95
+
+
+def test_graph_search_falls_back_to_exact_results(spark):
+    rng = np.random.default_rng(6)
+    mat = rng.normal(size=(1500, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(mat)], "vec_id long, embedding array<double>")
+    assert recall_of(df, list(range(1500)), mat, shard_rows=400, recall=1.1) == 1.0
+
+
+def test_graph_search_keeps_rows_of_one_id_apart(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [2.0, 0.5]), (22, [0.5, 2.0]), (22, [0.5, 2.0])]
+    got = graph_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == sorted([(1, 21, 2.0), (2, 22, 0.5), (3, 20, 0.0), (1, 22, 2.0), (2, 21, 0.5), (3, 20, 0.0)])
+
+
 def test_block_text():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header class="site"><h1>Site</h1></header><nav><a href=/>Home</a></nav>
     <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; line</h1><p>The first paragraph of&nbsp;the text

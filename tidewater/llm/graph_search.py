@@ -3,15 +3,26 @@ per shard, stored as flat neighbour arrays, shard results merged.
 
 Equal vectors are one node: the node carries the smallest ids of its rows, as
 many as a result can use, gathered through salted top-k steps, so ties come out
-by id and a vector with a third of all rows is harmless.  Nodes are dealt to
-shards of about ``shard_rows`` by a hash; each shard's graph is built by one
-task (bounded by the shard size) and written to the shared folder.  A query is
-sent to every shard, its results are scored exactly in double precision and
-merged by rank.  The lists of dimensions and of shards are written tables, so
-Spark broadcasts them only where their known size allows it.
+by id and a vector with a third of all rows is harmless.  Nodes are first parted
+by dimension and by the binary exponent of their norm, then dealt to shards of
+about ``shard_rows`` by a hash; each shard's graph is built by one task (bounded
+by the shard size) and written to the shared folder.
 
 Largest inner product is turned into nearness on a sphere: vectors get one more
-component that brings them to a common length, queries get zero there.
+component that brings them to the largest norm of their shard, queries get zero
+there.  Norms in a shard differ by a factor of two at most and are scaled by a
+power of two, so neither the added component nor single precision hides the
+differences between neighbours, whatever the norms in other shards.
+
+Queries are written once, in blocks.  A task takes one block through one group
+of shards (there are at most ``groups`` groups), reading graphs and block from
+the shared folder, and keeps the best ``k`` of each query, scored exactly in
+double precision; the results of the groups are merged by rank.
+
+Recall is measured in every run: ``checked`` queries, those with the smallest
+hashes, are compared with all vectors.  If less than ``recall`` of their true
+neighbours was found, all queries are compared with all vectors, block by block
+and shard by shard, and these exact results are returned.
 
 Insertion and search work on batches: a beam of ``ef`` nodes per query is kept
 in arrays, and the best unexpanded nodes of all queries are expanded together.
@@ -20,7 +31,10 @@ Defined results: null or empty vectors, zero vectors and vectors with a null,
 infinite or NaN component take no part, neither as query nor as candidate; rows
 with a null id likewise; queries are compared with vectors of their own
 dimension only; with fewer candidates than ``k`` all are returned; repeated
-rows (equal id and vector) count once; an empty table gives an empty result.
+rows (equal id and vector) count once; rows that share an id but not the vector
+are separate: each is a query with ranks of its own, and a candidate for the
+others under that id; a product beyond double precision is infinite; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -196,66 +210,159 @@ def _nodes(usable: DataFrame, per_node: int, salts: int = 64) -> DataFrame:
     return top.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, shard_rows: int = 8192, degree: int = 16, ef_build: int = 128, ef: int = 192) -> DataFrame:
+class ShardFile:
+    """A shard as written by its building task."""
+
+    def __init__(self, blob: bytes):
+        data = np.load(io.BytesIO(blob))
+        self.exact, self.ids, self.id_at, self.scale = data["exact"], data["ids"], data["id_at"], float(data["scale"])
+        self.graph = Graph(data["vec"], [data[f"links{i}"] for i in range(sum(x.startswith("links") for x in data.files))])
+
+    @staticmethod
+    def make(exact: np.ndarray, ids: list, exponent: int, degree: int, ef: int) -> bytes:
+        scaled = np.ldexp(exact, -exponent)
+        square = (scaled * scaled).sum(axis=1)
+        lift = np.sqrt(np.maximum(0.0, square.max() - square))
+        vec = np.concatenate((scaled, lift[:, None]), 1).astype(np.float32)
+        graph = Graph.build(vec, degree, ef)
+        blob = io.BytesIO()
+        np.savez(blob, vec=vec, exact=exact, scale=exponent, ids=np.concatenate(ids), id_at=np.cumsum([0, *map(len, ids)]), **{f"links{i}": x.astype(np.int32) for i, x in enumerate(graph.links)})
+        return blob.getvalue()
+
+    def near(self, own: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers of *own* and nodes found for them through the graph."""
+        size = np.abs(own).max(axis=1, keepdims=True)
+        lifted = np.concatenate((own / size, np.zeros((len(own), 1))), 1).astype(np.float32)
+        found, _ = self.graph.search(lifted, k, ef)
+        row, col = np.nonzero(found >= 0)
+        return row, found[row, col]
+
+    def nearest(self, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same by comparison with all nodes; of equal scores the smallest ids."""
+        rows, nodes = [], []
+        first = self.ids[self.id_at[:-1]]
+        for q, score in enumerate(own @ self.exact.T):
+            least = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else -np.inf
+            best = np.flatnonzero(~(score < least))
+            best = best[np.lexsort((first[best], -score[best]))[:k]]
+            rows.append(np.full(len(best), q)), nodes.append(best)
+        return np.concatenate(rows), np.concatenate(nodes)
+
+    def candidates(self, ids: np.ndarray, own: np.ndarray, k: int, ef: int, exactly: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of the query, vec_id, score) of what is found, its own row left out."""
+        row, node = self.nearest(own, k + 1) if exactly else self.near(own, k + 1, ef)
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (self.exact[node] * own[row]).sum(axis=1)
+        same = (self.exact[node] == own[row]).all(axis=1)
+        count = self.id_at[node + 1] - self.id_at[node]
+        place = np.repeat(self.id_at[node] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        row, score, same, vec_id = np.repeat(row, count), np.repeat(score, count), np.repeat(same, count), self.ids[place]
+        other = ~(same & (vec_id == ids[row]))
+        return row[other], vec_id[other], score[other]
+
+
+def _best_of(row, vec_id, score, k: int):
+    """The *k* best of each row, of equal scores the smaller ids."""
+    order = np.lexsort((vec_id, -score, row))
+    row, vec_id, score = row[order], vec_id[order], score[order]
+    start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.empty(0, np.int64)
+    keep = np.arange(len(row)) - np.repeat(start, np.diff(np.concatenate((start, [len(row)])))) < k
+    return row[keep], vec_id[keep], score[keep]
+
+
+def search(
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, shard_rows: int = 8192, degree: int = 16,
+    ef_build: int = 128, ef: int = 192, block_rows: int = 512, groups: int = 64, checked: int = 64, recall: float = 0.9,
+) -> DataFrame:
     """query_id, rank, vec_id, score: the *k* nearest found of each row whose id
     is divisible by *every*, among all other rows."""
     spark = vectors.sparkSession
     folder = scratch(spark, "graph")
     usable = _usable(vectors, id_col, vec_col)
-    nodes = materialise(_nodes(usable, k + 1), "nodes")
-    length2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    dims = nodes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(length2).alias("r2"))
-    dims = materialise(dims.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("n") / shard_rows)).cast("int")), "dims")
+    top = F.array_max(F.transform("v", F.abs))
+    exponent = F.floor(F.log2("top") + 0.5 * F.log2(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("top")) * (x / F.col("top"))))).cast("int")
+    nodes = _nodes(usable, k + 1).withColumn("top", top).select("v", "ids", F.size("v").alias("dim"), exponent.alias("e"))
+    nodes = materialise(nodes, "nodes")
+    shards = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / shard_rows)).cast("int").alias("shards")
+    classes = materialise(nodes.groupBy("dim", "e").agg(shards), "classes")
 
     def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        dim, shard = key
-        exact = np.array(frame["v"].tolist(), np.float64)
-        shuffle = np.random.default_rng(int(shard)).permutation(len(exact))
-        exact, ids = exact[shuffle], [frame["ids"].iloc[i] for i in shuffle]
-        radius2 = frame["r2"].iloc[0]
-        lift = np.sqrt(np.maximum(0.0, radius2 - (exact * exact).sum(axis=1)))
-        vec = np.concatenate((exact, lift[:, None]), 1).astype(np.float32)
-        graph = Graph.build(vec, degree, ef_build)
-        fs, root = filesystem(folder)
-        fs.create_dir(root, recursive=True)
+        dim, e, shard = key
+        frame = frame.iloc[np.random.default_rng(int(shard)).permutation(len(frame))]
+        blob = ShardFile.make(np.array(frame["v"].tolist(), np.float64), frame["ids"].tolist(), int(e), degree, ef_build)
+        _write(folder, f"{dim}/{e}-{shard}.npz", blob)
+        return pd.DataFrame({"dim": [dim], "e": [e], "shard": [shard]})
+
+    placed = nodes.join(classes, ["dim", "e"]).withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
+    index = materialise(placed.groupBy("dim", "e", "shard").applyInPandas(build, "dim int, e int, shard int"), "graph-index")
+    # the shards of a dimension by exponent: as many entries as exponents, 2,100 at most
+    known = classes.join(index.select("dim", "e").distinct(), ["dim", "e"]).groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("e", "shards"))).alias("classes"), F.least(F.lit(groups), F.sum("shards")).cast("int").alias("groups"))
+    known = materialise(known, "dims")
+
+    queries = usable.where(F.col("id") % every == 0).groupBy("id", "v").agg(F.lit(1).alias("one"))
+    queries = materialise(queries.select("id", "v", F.size("v").alias("dim"), F.xxhash64("id", "v").alias("h")), "queries")
+
+    def keep_block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        name, dim, block = key
         blob = io.BytesIO()
-        np.savez(blob, vec=vec, exact=exact, ids=np.concatenate(ids), id_at=np.cumsum([0, *map(len, ids)]), **{f"links{i}": x.astype(np.int32) for i, x in enumerate(graph.links)})
-        with fs.open_output_stream(f"{root}/{dim}-{shard}.npz", compression=None) as f:
-            f.write(blob.getvalue())
-        return pd.DataFrame({"dim": [dim], "shard": [shard], "nodes": [len(vec)]})
-
-    placed = nodes.withColumn("dim", F.size("v")).join(dims.select("dim", "shards", "r2"), "dim")
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
-    index = materialise(placed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, nodes long"), "graph-index")
-
-    def look_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple = (None, None)
-        fs, root = filesystem(folder)
-        for frame in frames:
-            for (dim, shard), part in frame.groupby(["dim", "shard"], sort=False):
-                if held[0] != (dim, shard):
-                    with fs.open_input_file(f"{root}/{dim}-{shard}.npz") as f:
-                        data = np.load(io.BytesIO(f.read()))
-                        data = {name: data[name] for name in data.files}
-                    links = [data[f"links{i}"] for i in range(sum(x.startswith("links") for x in data))]
-                    held = ((dim, shard), (Graph(data["vec"], links), data["exact"], data["ids"], data["id_at"]))
-                graph, exact, ids, id_at = held[1]
-                for a in range(0, len(part), 256):
-                    some = part.iloc[a : a + 256]
-                    own = np.array(some["v"].tolist(), np.float64)
-                    lifted = np.concatenate((own, np.zeros((len(own), 1))), 1).astype(np.float32)
-                    found, _ = graph.search(lifted, k + 1, ef)
-                    rows = []
-                    for q, v, hits in zip(some["id"].tolist(), own, found):
-                        hits = hits[hits >= 0]
-                        for node, score in zip(hits, exact[hits] @ v):
-                            rows += [(q, int(i), float(score)) for i in ids[id_at[node] : id_at[node + 1]] if i != q]
-                    yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-
-    queries = usable.where(F.col("id") % every == 0).groupBy("id", "v").agg(F.lit(1).alias("one")).select("id", "v", F.size("v").alias("dim"))
-    asked = queries.join(dims.select("dim", "shards"), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    asked = asked.join(index.select("dim", "shard"), ["dim", "shard"])
-    asked = asked.select("dim", "shard", "id", "v").repartition("dim", "shard", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("dim", "shard", "id")
-    hits = asked.mapInPandas(look_up, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        np.savez(blob, id=frame["id"].to_numpy(), h=frame["h"].to_numpy(), v=np.array(frame["v"].tolist(), np.float64))
+        _write(folder, f"{dim}/{name}-{block}.npz", blob.getvalue())
+        return pd.DataFrame({"name": [name], "dim": [dim], "block": [block]})
+
+    def hits(asked: DataFrame, name: str, exactly: bool) -> DataFrame:
+        count = asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+        dealt = asked.join(count, "dim").withColumn("block", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int")).withColumn("name", F.lit(name))
+        blocks = materialise(dealt.groupBy("name", "dim", "block").applyInPandas(keep_block, "name string, dim int, block int"), "blocks")
+        tasks = blocks.join(known, "dim").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        tasks = tasks.repartition("dim", "block", "group")
+
+        def look_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for block, dim, sizes, group, of in zip(frame["block"], frame["dim"], frame["classes"], frame["group"], frame["groups"]):
+                    data = np.load(io.BytesIO(_read(folder, f"{dim}/{name}-{block}.npz")))
+                    ids, own, h = data["id"], data["v"], data["h"]
+                    best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+                    every_shard = [(c["e"], n) for c in sizes for n in range(c["shards"])]
+                    for e, n in every_shard[group::of]:
+                        blob = _read(folder, f"{dim}/{e}-{n}.npz", missing_ok=True)
+                        if blob is None:  # no vector fell into this shard
+                            continue
+                        shard = ShardFile(blob)
+                        for a in range(0, len(ids), 128):
+                            row, vec_id, score = shard.candidates(ids[a : a + 128], own[a : a + 128], k, ef, exactly)
+                            best = tuple(np.concatenate(x) for x in zip(best, (row + a, vec_id, score)))
+                        best = _best_of(*best, k)
+                    row, vec_id, score = best
+                    yield pd.DataFrame({"query_id": ids[row], "h": h[row], "vec_id": vec_id, "score": score})
+
+        found = tasks.mapInPandas(look_up, "query_id long, h long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id"))
+        return materialise(found.withColumn("rank", rank).where(F.col("rank") <= k), "hits")
+
+    found = hits(queries, "asked", False)
+    sample = materialise(queries.orderBy("h", "id").limit(checked), "checked")
+    true = hits(sample, "checked", True)
+    last = true.groupBy("query_id", "h").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+    good = found.join(last, ["query_id", "h"]).where(F.col("score") >= F.col("least")).count()
+    wanted = true.count()
+    if good < recall * wanted:
+        found = hits(queries, "exact", True)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _write(folder: str, name: str, blob: bytes) -> None:
+    fs, root = filesystem(folder)
+    fs.create_dir(f"{root}/{name}".rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
+        f.write(blob)
+
+
+def _read(folder: str, name: str, missing_ok: bool = False) -> bytes | None:
+    fs, root = filesystem(folder)
+    try:
+        with fs.open_input_file(f"{root}/{name}") as f:
+            return f.read()
+    except FileNotFoundError:
+        if missing_ok:
+            return None
+        raise
