@@ -11,7 +11,8 @@ payloads those with the largest page_id are responses (rows that repeat that id
 with the same payload are all responses) and the others revisits without a
 body; a null page_id is smaller than any other; a null url leaves the header
 out, line ends in a url are percent-encoded; records of any length pass in
-pieces; an empty table gives no archive and an empty result.
+pieces; an empty table gives no archive and an empty result.  Payloads are equal
+if SHA-1, a second 64-bit hash and length are.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ VERSION = b"WARC/1.1"
 #: Fixed, so that archives are the same whenever they are written.
 DATE = "1970-01-01T00:00:00Z"
 PIECE = 1 << 20
+#: Tasks over which the rows of one payload are spread when they meet its largest page_id.
+SALTS = 16
 #: Extension headers: the page's id, the full payload's size, the response's page id.
 PAGE, SIZE, REFERS = "Tidewater-Page-ID", "Tidewater-Payload-Length", "Tidewater-Refers-To-Page-ID"
 
@@ -137,9 +140,12 @@ def normalise(pieces: Iterable[bytes], write, level: int = 6) -> Iterator[dict]:
 
 def write_monolithic(pages: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """Archives of *pages* in *folder*, each one gzip member; returns their manifest."""
-    hashed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    hashed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    hashed = hashed.withColumn("digest", F.concat(F.sha1(F.col("html").cast("binary")), F.hex(F.xxhash64("html")), F.octet_length("html").cast("string")))
     tops = hashed.groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "top")
-    rows = hashed.join(tops.withColumn("shared", F.lit(True)), "digest", "left")
+    # the rows of a very common payload are dealt to SALTS tasks
+    tops = tops.select("digest", "top", F.lit(True).alias("shared"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = hashed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url") + F.spark_partition_id(), F.lit(SALTS)).cast("int")).join(tops, ["digest", "salt"], "left")
     revisit = F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("top"))
     rows = rows.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", F.col("top").cast("long").alias("top"), revisit.alias("revisit"))
 
