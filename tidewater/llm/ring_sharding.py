@@ -5,17 +5,21 @@ key hashes to a position and belongs to the shard of the next point clockwise.
 Shards have a capacity in rows.  Keys that meet a full shard continue clockwise
 to the next shard with room.  Capacities are floor or ceil of the mean, so the
 law is ``rows``: counts are at most one apart.  With many virtual nodes only
-the small surplus of each shard moves.
+the surplus of each shard leaves its place on the ring; as there is no slack, a
+further row or shard also moves rows near the borders of full shards.
 
 How it scales: rows are only counted by ring arc (``shards * vnodes`` arcs, a
 bound that does not depend on the data).  That table of arcs is poured into the
-shards by one fold in ring order, which yields ranges of ranks within each arc;
-rows are ranked within their arc (a window over one arc, not over a shard) and
-joined with the ranges by broadcast, whose size is bounded as well.
+shards by one fold in ring order, which yields ranges of ranks within each arc.
+Rows without their texts (id, size, checksum) are pre-aggregated, so equal rows
+are one group with a count; groups are ranked within a slice of their arc (a
+window over one of ``slices`` hash slices of one arc, so an id with a third of
+all rows is spread), joined with the ranges by broadcast, whose size is bounded
+as well, and a group's rows are dealt out again in pieces.
 
 Defined results: a null text has size 1 and a null crc32; a null doc_id is
-hashed as the text ``null``; equal rows are told apart only by their rank, so
-each gets a slot of its own; an empty table gives an empty result; columns of
+hashed as the text ``null``; rows that are equal in doc_id, size and checksum are
+told apart only by their rank, so each gets a slot of its own; an empty table gives an empty result; columns of
 the input other than doc_id and text are not looked at, so they cannot clash.
 """
 
@@ -27,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.llm.shared import materialise
+
 
 def _point(shard: int, vnode: int) -> int:
     return int(hashlib.md5(f"shard-{shard}-{vnode}".encode()).hexdigest()[:15], 16)
@@ -99,7 +105,7 @@ def _pour(arcs: Column, shards: int) -> Column:
     return F.aggregate(arcs, start, one_arc, lambda s: s["out"])
 
 
-def shard(docs: DataFrame, shards: int = 16, vnodes: int = 256) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, vnodes: int = 256, slices: int = 256, piece: int = 1 << 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     spark = docs.sparkSession
     ring_table = _arcs(spark, shards, vnodes)
@@ -110,21 +116,35 @@ def shard(docs: DataFrame, shards: int = 16, vnodes: int = 256) -> DataFrame:
         placed = df.withColumn("pos", position(F.col("doc_id"))).withColumn("slice", F.shiftright("pos", shift))
         return placed.join(borders, (placed["slice"] == borders["slice"]) & (F.col("pos") > F.col("lo")) & (F.col("pos") <= F.col("hi"))).drop("slice", "lo", "hi")
 
-    counts = on_ring(docs.select("doc_id")).groupBy("arc").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    )
+    key = ["doc_id", "size", "text_crc32"]
+    groups = materialise(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")), "ring-groups")
+    groups = on_ring(groups).withColumn("slice", F.pmod(F.xxhash64(*key), F.lit(slices)).cast("int")).drop("pos")
+
+    cells = groups.groupBy("arc", "slice").agg(F.sum("copies").alias("n"))
+    counts = cells.groupBy("arc").agg(F.sum("n").alias("n"))
     routes = ring_table.groupBy("arc").agg(F.first("route").alias("route"))
     folded = routes.join(F.broadcast(counts), "arc").agg(F.sort_array(F.collect_list(F.struct("arc", "n", "route"))).alias("arcs"))
     segments = folded.select(F.inline(_pour(F.col("arcs"), shards)))
     before = F.sum(F.col("hi") - F.col("lo")).over(Window.partitionBy("shard").orderBy("arc").rowsBetween(Window.unboundedPreceding, -1))
     segments = segments.withColumn("base", F.coalesce(before, F.lit(0)))
 
-    rows = docs.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-    )
-    ranked = on_ring(rows).withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("pos", "doc_id", "text_crc32", "size")).cast("long") - 1)
-    out = ranked.join(F.broadcast(segments), (ranked["arc"] == segments["arc"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return out.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
+    earlier = F.sum("n").over(Window.partitionBy("arc").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select("arc", "slice", F.coalesce(earlier, F.lit(0)).alias("from"))
+    within = F.sum("copies").over(Window.partitionBy("arc", "slice").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = groups.withColumn("rank", F.coalesce(within, F.lit(0))).join(cells, ["arc", "slice"]).withColumn("rank", F.col("from") + F.col("rank"))
+    end = F.col("rank") + F.col("copies")
+    met = ranked.join(F.broadcast(segments), (ranked["arc"] == segments["arc"]) & (F.col("rank") < F.col("hi")) & (end > F.col("lo")))
+    met = met.select(*key, "shard", "base", "lo", F.greatest("rank", "lo").alias("a"), F.least(end, F.col("hi")).alias("b"))
+    pieces = met.withColumn("a_", F.explode(F.sequence(F.col("a"), F.col("b") - 1, F.lit(piece))))
+    one_by_one = F.explode(F.sequence(F.col("a_"), F.least(F.col("b"), F.col("a_") + piece) - 1))
+    few, many = pieces.where(F.col("b") - F.col("a") <= piece), pieces.where(F.col("b") - F.col("a") > piece)
+    dealt = few.unionByName(many.repartition("shard", "a_")).withColumn("rank", one_by_one)
+    return dealt.select(
+        *key[:1], "size", "text_crc32", F.lit("rows").alias("law"), "shard",
         (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
