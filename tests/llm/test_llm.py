@@ -593,6 +593,28 @@ def test_source_mixing(docs, odd, none):
     assert source_mixing.mix(none).count() == source_mixing.draw(none).count() == 0
 
 
+def test_source_targets_with_many_sources(spark):
+    rng = random.Random(3)
+    sizes = {f"h{i}": rng.choice([0, 3, 10, 400, 9000]) for i in range(500)} | {None: 7}
+    df = spark.createDataFrame([(s, v) for s, v in sizes.items()], "source string, size long")
+    got = {r["source"]: r["target"] for r in source_mixing.source_targets(df).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    low, high = 0.0, 1e9
+    for _ in range(200):  # the water level by bisection
+        level = (low + high) / 2
+        full = sum(min(3 * sizes[s], level * weight[s]) for s in order) >= sum(sizes.values())
+        low, high = (low, level) if full else (level, high)
+    assert all(got[s] == pytest.approx(min(3 * sizes[s], high * weight[s]), abs=1e-4) for s in order)
+
+
+def test_draw_is_the_same_for_rows_that_share_an_id(spark):
+    rows = [(i % 7, f"w{i} " * (1 + i % 3), "s" if i % 2 else "t") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, second = (sorted(map(tuple, source_mixing.draw(df.repartition(n)).collect())) for n in (1, 6))
+    assert first == second
+
+
 def test_quality_rules(spark, docs, odd, none):
     extra = spark.createDataFrame([(900, "a " * 50), (901, "a b c d e f g h " * 3), (902, " ".join(map(str, range(500))) + " " + " ".join(map(str, range(20)))), (903, "a\n\na\nb\na ")], "doc_id long, text string")
     df = docs.select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 5000).alias("doc_id"), "text")).unionByName(extra)

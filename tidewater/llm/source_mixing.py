@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
 from tidewater.llm.shared import materialise, word_count
@@ -31,28 +32,38 @@ WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 
 
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """*df* with, for each name of *sums*, the sum of its expression over the
+    rows before in the order: rows are parted by ranges of the order and summed
+    up within their part; what the parts before hold is added (one row a part)."""
+    parts = materialise(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    totals = parts.groupBy("part").agg(*[F.sum(x).alias(f"{k}_") for k, x in sums.items()])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("part", *[F.coalesce(F.sum(f"{k}_").over(earlier), F.lit(0)).alias(f"{k}_") for k in sums])
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = parts.select("*", *[F.coalesce(F.sum(x).over(within), F.lit(0)).alias(k) for k, x in sums.items()])
+    added = [(F.col(k) + F.col(f"{k}_")).alias(k) for k in sums]
+    return own.join(totals, "part").select(*df.columns, *added)
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """source, source_size, target from rows (source, size).
 
     Filling up by weight with a ceiling: sorted by ceiling over weight, the
     sources before the turning point stop at their ceiling, the others share
-    the rest in proportion to their weights.  One row for each source.
+    the rest in proportion to their weights.  Places and sums along an order of
+    the sources come from ranges of it, so there may be any number of sources.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    n = len(weights)
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(place, F.lit(n)) + 1).cast("int")))
-    per = per.withColumn("ceiling", F.col("source_size") * max_copies)
-    fill = Window.orderBy((F.col("ceiling") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    onward = fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.select(
-        "source", "source_size", "weight", "ceiling",
-        ((F.sum("source_size").over(every) - F.coalesce(F.sum("ceiling").over(before), F.lit(0))) / F.sum("weight").over(onward)).alias("level"),
-    )
+    per = _running(per, [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
+    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int")))
+    per = per.select("source", "source_size", "weight", (F.col("source_size") * max_copies).alias("ceiling"))
+    per = per.withColumn("turn", F.col("ceiling") / F.col("weight"))
+    per = materialise(_running(per, [F.col("turn").asc(), F.col("source").asc_nulls_last()], {"filled": F.col("ceiling"), "weights": F.col("weight")}), "sources")
+    size, weight = per.agg(F.sum("source_size")).scalar(), per.agg(F.sum("weight")).scalar()
+    per = per.withColumn("level", (size - F.col("filled")) / (weight - F.col("weights")))
     open_ = F.col("ceiling") > F.col("level") * F.col("weight")
-    share = F.max(F.when(open_, F.col("level"))).over(Window.partitionBy(F.lit(0)))
+    share = per.agg(F.max(F.when(open_, F.col("level")))).scalar()
     return per.select("source", "source_size", F.when(open_, share * F.col("weight")).otherwise(F.col("ceiling").cast("double")).alias("target"))
 
 
@@ -82,7 +93,8 @@ def _sizes(docs: DataFrame) -> DataFrame:
 def copies(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 7, slots: int = 512) -> DataFrame:
     """row (a struct of all columns of *docs*), size, source_size, target, copies."""
     light = _sizes(docs)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(docs["text"]).alias("size"))
+    tie = F.xxhash64(*[docs[f.name] for f in docs.schema if not isinstance(f.dataType, MapType)]).alias("tie")  # maps have no hash
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(docs["text"]).alias("size"), tie)
     return _with_copies(rows, light, weights, max_copies, seed, slots)
 
 
@@ -105,7 +117,7 @@ def _with_copies(rows: DataFrame, light: DataFrame, weights, max_copies: int, se
     )
     targets = source_targets(light.select("source", "size"), weights, max_copies).withColumnRenamed("source", "s_")
 
-    ranked = in_cells(rows).withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id")).cast("long") - 1)
+    ranked = in_cells(rows).withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id", *(["tie"] if "tie" in rows.columns else []))).cast("long") - 1)
     ranked = ranked.join(cells, ranked["source"].eqNullSafe(cells["s_"]) & (ranked["class"] == cells["c_"]) & (ranked["slot"] == cells["t_"])).drop("s_", "c_", "t_")
     ranked = ranked.join(targets, ranked["source"].eqNullSafe(targets["s_"])).drop("s_")
     rate = F.least(F.lit(float(max_copies)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
