@@ -293,6 +293,36 @@ def test_near_duplicates_match_brute_force(spark, docs):
         assert got == want
 
 
+def test_near_threshold_groups_and_long_texts(spark):
+    rng = np.random.default_rng(8)
+    words = [f"v{i}" for i in range(3000)]
+    shared = list(rng.choice(words, 85))
+    made = [" ".join(shared + list(rng.choice(words, 15))) for _ in range(250)]  # about 0.7 alike, no links
+    made += [" ".join(shared + list(rng.choice(words, 9))) for _ in range(60)]  # about 0.8: some
+    long = list(rng.choice(words, 30_000))
+    made += [" ".join(long[k:]) for k in (0, 200, 3000, 9000)]
+    rows = list(enumerate(made))
+    want = brute_components(rows, 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"block": 40, "block_shingles": 4000, "star": 8}):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in bbit_minhash.detect(df, 4, **options).collect()} == want
+
+
+def test_bit_rows_count_common_shingles():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 500, n).astype(np.uint64)) for n in (1, 60, 300, 400, 64)]
+    bits = bbit_minhash.Bits(sets)
+    assert [bits.common(i, np.arange(5)).tolist() for i in range(5) ] == [[len(np.intersect1d(np.intersect1d(a, b), a)) if i != j else len([x for x in a if sum(x in s for s in sets) > 1]) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    assert bbit_minhash.Bits(sets, most=8).rows is None
+
+
+def test_keep_one_and_null_ids(spark):
+    text = " ".join(f"t{i}" for i in range(40))
+    rows = [(None, text), (None, text + " more"), (3, text), (None, "quite another text"), (None, "quite another text"), (None, None), (4, "x")]
+    got = bbit_minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in got) == [(-1, ""), (-1, "quite another text"), (3, text), (4, "x")]
+
+
 def test_near_duplicates_on_odd_rows(odd, none):
     got = bbit_minhash.detect(odd).collect()
     assert len(got) == odd.count()

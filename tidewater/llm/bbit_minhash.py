@@ -11,14 +11,18 @@
    threshold are confirmed on their full sets.
 4. What a star cannot see are links between members that ended in different
    components.  Buckets that still hold several components are compared block
-   by block on their signatures; the members of promising pairs are confirmed
-   on full sets with a local union-find, and only confirmed links that join two
-   components are emitted.
+   by block on their signatures, each pair in the first bucket that it shares;
+   the members of promising pairs are confirmed on full sets with a local
+   union-find, and only confirmed links that join two components are emitted.
+   Blocks are bounded by their members and by the shingles these have together.
 5. Components come from large-star/small-star rounds on the link table.
 
+Joins on buckets, leaders and nodes that many rows share are salted by the id
+of the other side.
+
 With 32 bands of 4 rows a pair at similarity 0.8 shares no band with
-probability below 1e-7, and the estimate that leads to confirmation lies seven
-standard deviations below the threshold.
+probability below 1e-7, and the estimate that leads to confirmation lies six
+standard deviations of the signature below the threshold.
 
 Cuts of the lineage are tables in the shared folder.  Defined results: null and
 empty texts and texts of white space have empty sets and are linked with
@@ -103,6 +107,12 @@ class Shingler:
         chance = 2.0**-self.bits
         return (equal / (self.bands * self.rows) - chance) / (1 - chance)
 
+    def deviation(self, similarity: float) -> float:
+        """Standard deviation of the estimate."""
+        chance = 2.0**-self.bits
+        equal = similarity + (1 - similarity) * chance
+        return float(np.sqrt(equal * (1 - equal) / (self.bands * self.rows)) / (1 - chance))
+
 
 def _digest(table: Iterable[pa.RecordBatch], maker: Shingler) -> Iterator[pa.RecordBatch]:
     for batch in table:
@@ -173,11 +183,35 @@ def _confirm_stars(batches, maker: Shingler, percent: int):
     yield _links(found)
 
 
+class Bits:
+    """Sets as rows of one bit matrix over the shingles that several of them
+    have; None where that would be large."""
+
+    def __init__(self, sets: list[np.ndarray], most: int = 1 << 26):
+        every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        values, count = np.unique(every, return_counts=True)
+        values = values[count > 1]
+        width = (len(values) + 63) // 64
+        self.rows = None
+        if width and 8 * width * len(sets) <= most:
+            self.rows = np.zeros((len(sets), 8 * width), np.uint8)
+            for k, s in enumerate(sets):
+                at = np.searchsorted(values, s)
+                at = at[values[np.minimum(at, len(values) - 1)] == s]
+                np.bitwise_or.at(self.rows[k], at >> 3, (1 << (at & 7)).astype(np.uint8))
+            self.rows = self.rows.view(np.uint64)
+
+    def common(self, one: int, others: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.rows[others] & self.rows[one]).sum(axis=1, dtype=np.int64)
+
+
 def _confirm_blocks(batches, maker: Shingler, percent: int, least: float):
-    """Rows (block, id, comp, sig, text) sorted by block: confirms promising
-    pairs of different components until they are joined."""
+    """Rows (bucket, i, j, side, id, comp, sig, bands, text) sorted by (bucket,
+    i, j): confirms promising pairs of different components until they are joined."""
 
-    def close(rows):
+    def close(bucket, rows):
+        if len(rows) < 2:
+            return
         root: dict[int, int] = {}
 
         def find(x):
@@ -186,29 +220,55 @@ def _confirm_blocks(batches, maker: Shingler, percent: int, least: float):
                 x = root[x]
             return x
 
-        sig = np.array([r[2] for r in rows], np.int64).view(np.uint64)
-        sets = [r[3] for r in rows]
-        for i in range(len(rows)):
-            likely = np.flatnonzero(maker.estimate(_equal(sig[i][None, :], sig[i + 1 :], maker)[0]) >= least) + i + 1
-            for j in likely:
-                x, y = find(rows[i][1]), find(rows[j][1])
-                if x != y and _similar(sets[i], sets[j], percent):
+        side, ids, comps = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        sig, bands = np.array([r[3] for r in rows], np.int64).view(np.uint64), np.array([r[4] for r in rows], np.int64)
+        sets = [r[5] for r in rows]
+        size = np.array([len(s) for s in sets])
+        bits = Bits(sets)
+        left = np.flatnonzero(side == 0)
+        for i in left.tolist():
+            others = np.flatnonzero((side == 1) if side.any() else (np.arange(len(rows)) > i))
+            others = others[100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])]
+            others = others[_likely(sig[i : i + 1], bands[i : i + 1], sig[others], bands[others], bucket, maker, least)[0]]
+            mine = find(int(comps[i]))
+            others = others[[find(c) != mine for c in comps[others].tolist()]]
+            if not len(others):
+                continue
+            if bits.rows is not None:
+                common = bits.common(i, others)
+                others = others[100 * common >= percent * (size[others] + size[i] - common)]
+            for j in others.tolist():
+                x, y = find(int(comps[i])), find(int(comps[j]))
+                if x != y and (bits.rows is not None or _similar(sets[i], sets[j], percent)):
                     root[max(x, y)] = min(x, y)
-                    found.append((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])))
+                    found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
 
     current, rows, found = None, [], []
-    for block, node, comp, sig, text in _groups(batches):
-        if block != current:
-            close(rows)
-            current, rows = block, []
+    for bucket, i, j, side, node, comp, sig, bands, text in _groups(batches):
+        if (bucket, i, j) != current:
+            if current is not None:
+                close(current[0], rows)
+            current, rows = (bucket, i, j), []
             if found:
                 yield _links(found)
                 found = []
-        rows.append((node, comp, sig, maker.shingles(maker.words(text))))
-    close(rows)
+        rows.append((side, node, comp, sig, bands, maker.shingles(maker.words(text))))
+    if current is not None:
+        close(current[0], rows)
     yield _links(found)
 
 
+def _likely(sig_a, bands_a, sig_b, bands_b, bucket: int, maker: Shingler, least: float) -> np.ndarray:
+    """Pairs whose estimate is high enough and that share no band before *bucket*'s."""
+    likely = maker.estimate(_equal(sig_a, sig_b, maker)) >= least
+    x, y = np.nonzero(likely)
+    for a in range(0, len(x), 1 << 16):
+        p, q = x[a : a + (1 << 16)], y[a : a + (1 << 16)]
+        first = (bands_a[p] == bands_b[q]).argmax(axis=1)
+        likely[p, q] = bands_a[p, first] == bucket
+    return likely
+
+
 def _equal(a: np.ndarray, b: np.ndarray, maker: Shingler) -> np.ndarray:
     """Equal positions of all signatures in *a* against all in *b*."""
     per_plane = maker.bands * maker.rows // 64
@@ -222,31 +282,39 @@ def _equal(a: np.ndarray, b: np.ndarray, maker: Shingler) -> np.ndarray:
 
 
 def _promising(batches, maker: Shingler, least: float):
-    """Rows (bucket, i, j, side, id, comp, sig) sorted by (bucket, i, j): for each
-    block pair the ids with a likely partner in another component."""
+    """Rows (bucket, i, j, side, id, comp, sig, bands) sorted by (bucket, i, j):
+    for each block pair the ids with a likely partner in another component."""
 
-    def close(rows):
+    def close(key, rows):
         if len(rows) < 2:
-            return None
-        side = np.array([r[0] for r in rows])
-        ids = np.array([r[1] for r in rows], np.int64)
-        comp = np.array([r[2] for r in rows], np.int64)
-        sig = np.array([r[3] for r in rows], np.int64).view(np.uint64)
+            return
+        side, ids, comp = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        sig, bands = np.array([r[3] for r in rows], np.int64).view(np.uint64), np.array([r[4] for r in rows], np.int64)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
-        likely = (maker.estimate(_equal(sig[left], sig[right], maker)) >= least) & (comp[left][:, None] != comp[right][None, :])
-        x, y = np.nonzero(likely)
-        members = np.unique(np.concatenate((ids[left[x]], ids[right[y]])))
-        return members if len(members) else None
+        likely = _likely(sig[left], bands[left], sig[right], bands[right], key[0], maker, least) & (comp[left][:, None] != comp[right][None, :])
+        a, b = left[likely.any(axis=1)], right[likely.any(axis=0)]
+        members = np.unique(np.concatenate((a, b)))
+        if len(members):
+            same = [pa.array(np.full(len(members), x), t) for x, t in zip(key, (pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(side[members], pa.int32()), pa.array(ids[members])], ["bucket", "i", "j", "side", "id"])
 
     current, rows = None, []
-    for bucket, i, j, side, node, comp, sig in _groups(batches):
+    for bucket, i, j, side, node, comp, sig, bands in _groups(batches):
         if (bucket, i, j) != current:
-            if (m := close(rows)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([m.tolist()], pa.list_(pa.int64()))], ["ids"])
+            if current is not None:
+                yield from close(current, rows)
             current, rows = (bucket, i, j), []
-        rows.append((side, node, comp, sig))
-    if (m := close(rows)) is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([m.tolist()], pa.list_(pa.int64()))], ["ids"])
+        rows.append((side, node, comp, sig, bands))
+    if current is not None:
+        yield from close(current, rows)
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+    """Join many *rows* of a key with its one row in *keyed*, dealing the rows
+    of a key over *salts* tasks by the column *by*."""
+    left = rows.withColumn("salt_", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = keyed.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "salt_"]).drop("salt_")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -263,9 +331,9 @@ def components(links: DataFrame) -> DataFrame:
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = salted_join(both, low, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         lows = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lows, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lows.select("a", F.col("m").alias("b")))
+        small = salted_join(large, lows, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lows.select("a", F.col("m").alias("b")))
         after = materialise(small.where("a <> b").distinct(), "edges")
         discard(edges)
         edges, now = after, state(after)
@@ -275,10 +343,10 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def detect(docs: DataFrame, width: int = 4, percent: int = 80, block: int = 1024, star: int = 256, margin: float = 0.3) -> DataFrame:
+def detect(docs: DataFrame, width: int = 4, percent: int = 80, block: int = 1024, star: int = 256, deviations: float = 6.0, block_shingles: int = 1 << 21) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of *docs*."""
     maker = Shingler(width)
-    least = percent / 100 - margin
+    least = percent / 100 - deviations * maker.deviation(percent / 100)
     n_words = maker.bits * maker.bands * maker.rows // 64
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digest = materialise(
@@ -286,17 +354,18 @@ def detect(docs: DataFrame, width: int = 4, percent: int = 80, block: int = 1024
         "digest",
     )
     classes = materialise(
-        digest.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")),
+        digest.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("n_shingles").alias("size"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")),
         "classes",
     )
     reps = classes.where("id is not null")
     in_band = reps.select("id", F.explode("bands").alias("bucket"))
     buckets = in_band.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = materialise(in_band.join(buckets, "bucket"), "buckets")
+    members = materialise(salted_join(in_band, buckets, "bucket", "id"), "buckets")
 
     sigs = reps.select("id", "sig")
     pairs = members.where("id <> leader").select("leader", "id").distinct()
-    pairs = pairs.join(sigs, "id").join(sigs.select(F.col("id").alias("leader"), F.col("sig").alias("own")), "leader")
+    leaders = sigs.join(pairs.select(F.col("leader").alias("id")).distinct(), "id").select(F.col("id").alias("leader"), F.col("sig").alias("own"))
+    pairs = salted_join(pairs.join(sigs, "id"), leaders, "leader", "id", 8)
     half = n_words // maker.bits
     differ = [
         F.bit_count(
@@ -325,19 +394,21 @@ def detect(docs: DataFrame, width: int = 4, percent: int = 80, block: int = 1024
     found = materialise(components(first), "components")
     comp = F.coalesce("root", "id").alias("comp")
     placed = members.where("m > 2").select("bucket", "id").join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", comp)
-    open_ = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int")
-    rest = placed.join(open_.select("bucket", blocks.alias("blocks")), "bucket").join(sigs, "id")
+    whole = reps.select("id", "sig", "bands", "size")
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+    placed = materialise(salted_join(placed, several, "bucket", "id").join(whole, "id"), "open")
+    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / block_shingles)).cast("int")
+    rest = salted_join(placed, placed.groupBy("bucket").agg(blocks.alias("blocks")), "bucket", "id")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["bucket", "i", "j"]
     rest = rest.select(
         "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "comp", "sig",
-    ).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    hopeful = rest.mapInArrow(lambda b: _promising(b, maker, least), "ids array<bigint>").distinct()
-    hopeful = hopeful.withColumn("block", F.xxhash64("ids")).select("block", F.explode("ids").alias("id"))
-    rows = hopeful.join(found, F.col("id") == F.col("node"), "left").select("block", "id", comp).join(sigs, "id").join(chosen, "id")
-    rows = rows.select("block", "id", "comp", "sig", "text").repartition("block").sortWithinPartitions("block", "id")
+        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "comp", "sig", "bands",
+    ).repartition(*key).sortWithinPartitions(*key, "id")
+    hopeful = rest.mapInArrow(lambda b: _promising(b, maker, least), "bucket long, i int, j int, side int, id long")
+    rows = hopeful.join(found, F.col("id") == F.col("node"), "left").select(*key, "side", "id", comp).join(whole, "id").join(chosen, "id")
+    rows = rows.select(*key, "side", "id", "comp", "sig", "bands", "text").repartition(*key).sortWithinPartitions(*key, "id")
     second = materialise(rows.mapInArrow(lambda b: _confirm_blocks(b, maker, percent, least), "a long, b long"), "links")
 
     if second.isEmpty():
@@ -345,7 +416,7 @@ def detect(docs: DataFrame, width: int = 4, percent: int = 80, block: int = 1024
     else:
         joined = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
         final = materialise(components(joined), "components")
-    for done in (members, stars, chosen, first, second):
+    for done in (members, stars, chosen, first, placed, second):
         discard(done)
     merged = classes.join(final, F.col("id") == F.col("node"), "left").where("copies > 1 or root is not null")
     roots = merged.select("key", F.coalesce("root", "id").alias("top"))
@@ -364,9 +435,10 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows of *docs*, all columns as they are: one document of each group stays.
 
     A doc_id names a document; of rows that repeat both id and text one stays.
-    Rows with a null doc_id stay."""
-    flag = "__tw_text"
-    stay = detect(docs, width, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi")
-    named = named.withColumn(flag, F.xxhash64("text")).dropDuplicates(["doc_id", flag]).drop(flag)
-    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    A row with a null doc_id stands behind all rows with an id: it gets one of
+    2**62 or more from its text, so it stays only where its group has no other,
+    and of those with one text one stays."""
+    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(1 << 62) + F.xxhash64(docs["text"]).bitwiseAND((1 << 60) - 1)).alias("doc_id")
+    stay = detect(docs.select(own, docs["text"].cast("string").alias("text")), width, percent).where("kept").select("doc_id").distinct()
+    named = docs.select(own, F.xxhash64(docs["text"]).alias("hash"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "hash"]).select("row.*")
