@@ -2,8 +2,9 @@
 tables and files that both driver and executors can reach.
 
 Everything that cuts lineage or is exchanged between tasks lives in the folder
-named by ``spark.checkpoint.dir``.  Only where that setting is absent (tests on
-one machine) a private folder is created.
+named by ``spark.checkpoint.dir``.  Only where that setting is absent and the
+master is local (tests on one machine) a private folder is created.  What was
+written below the shared folder is deleted when the program ends.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 _own_dir: list[str] = []
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tidewater-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -39,7 +43,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean_up)
+    _made.append((spark, path))
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def _clean_up() -> None:
+    """Delete what this program wrote, as long as its session is still there."""
+    for spark, path in _made:
+        try:
+            if spark.sparkContext._jsc is None:
+                return
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the program ends; what is left is only disk space
+            return
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -58,10 +82,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialise` that nothing reads any more."""
-    spark, path = df.sparkSession, df.tw_path  # type: ignore[attr-defined]
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    _delete(df.sparkSession, df.tw_path)  # type: ignore[attr-defined]
 
 
 def filesystem(uri: str):
@@ -84,6 +105,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keep_freed_memory(most: int = 1 << 26) -> None:
+    """Let this process use freed arrays of up to *most* bytes again instead of
+    mapping new pages for each, where the C library can."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, most), libc.mallopt(-1, most)  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        return
+
+
 def release_memory() -> None:
     """Give freed pages of this process, Arrow's pool included, back to the
     system, where the C library can: Python workers live on, and executors have
