@@ -3,8 +3,14 @@
 Every stage gets what its predecessor kept, written as Parquet and read again.
 All but the last return the columns of ``documents``; the last returns, for each
 document of the mix (repeats included), the digests of its ids and decoded text.
-Stages handle null columns, empty texts and tables, and repeated rows as the
-operators' docstrings say.
+
+Defined results, for every stage but the last: rows keep all columns, whatever
+their names; an empty table stays empty.  Null and empty texts have no language
+and go in the first stage.  Repeated rows are judged alike by the first two
+stages; the third keeps one of them.  A null doc_id is an id of its own for the
+third stage, behind all others of its group.  Ties between documents of a group
+go to the smallest id, ties in the order of the mix to a hash of all columns, so
+reruns agree.  Near duplicates are taken on shingles of five words.
 """
 
 from __future__ import annotations
