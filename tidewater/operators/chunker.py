@@ -21,6 +21,16 @@ from pyspark.sql import functions as F
 TARGET, OVERLAP, MAX_LINE = 3072, 256, 1 << 20
 _HEADING = re.compile(rb"[ \t]*#{1,6}(?:[ \t]|\Z)")
 _SPACE = b" \t\r\n\x0b\x0c"
+#: All characters with the White_Space property.
+_BLANKS = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _trim(raw: bytes) -> bytes:
+    """Without white space at both ends."""
+    raw = raw.strip(_SPACE)
+    if raw and (raw[0] > 127 or raw[-1] > 127):
+        raw = raw.decode("utf-8", "replace").strip(_BLANKS).encode("utf-8")
+    return raw
 
 
 @dataclass
@@ -69,7 +79,7 @@ class _Collector:
 
     def close(self, last: int, hard: bool = False) -> None:
         text = b"\n".join(self.held).rstrip(b"\n")
-        if text.strip(_SPACE):
+        if _trim(text):
             self.done.append(Segment(self.first, last, text, hard))
         self.held = []
 
@@ -84,9 +94,9 @@ def segments(raw: bytes) -> list[Segment]:
                     c.close(number - 1)
                     c.put(part, number)
                     c.close(number, hard=True)
-                elif part.strip(_SPACE):
+                elif _trim(part):
                     c.put(part, number)
-        elif not line.strip(_SPACE):
+        elif not _trim(line):
             c.close(number - 1)
         else:
             if _HEADING.match(line):
@@ -115,7 +125,7 @@ def pieces(s: Segment, target: int) -> list[Segment]:
                 while cut > 0 and rest[cut] & 0xC0 == 0x80:
                     cut -= 1
                 cut = cut or target
-        text = rest[:cut].strip(_SPACE)
+        text = _trim(rest[:cut])
         if text:
             out.append(Segment(s.first, s.last, text, s.hard if not out else True))
         rest = rest[cut:]
@@ -124,7 +134,7 @@ def pieces(s: Segment, target: int) -> list[Segment]:
 
 def overlap_suffix(text: bytes, size: int) -> bytes:
     """The end of a chunk that the next one repeats: at most *size* bytes, whole
-    characters, from a word's beginning where there is one."""
+    characters, from behind the first blank in it, if anything is there."""
     if size <= 0:
         return b""
     if len(text) <= size:
@@ -132,12 +142,9 @@ def overlap_suffix(text: bytes, size: int) -> bytes:
     at = len(text) - size
     while at < len(text) and text[at] & 0xC0 == 0x80:
         at += 1
-    tail = text[at:]
-    if text[at - 1 : at].strip(_SPACE):  # inside a word: go on to the next
-        blank = re.search(rb"[ \t\n]", tail)
-        if blank and blank.end() < len(tail):
-            tail = tail[blank.end() :]
-    return tail.strip(_SPACE)
+    whole = text[at:]
+    blank = re.search(rb"[ \t\n](?=.)", whole, re.S)
+    return _trim(whole[blank.end() :] if blank else whole)
 
 
 def chunk_text(text: str, target: int = TARGET, overlap: int = OVERLAP, drop_carry_only: bool = False) -> list[Chunk]:
@@ -149,7 +156,7 @@ def chunk_text(text: str, target: int = TARGET, overlap: int = OVERLAP, drop_car
 
     def flush() -> None:
         nonlocal buffer, carry, own
-        body = buffer.strip(_SPACE)
+        body = _trim(buffer)
         if body:
             if own or not drop_carry_only:
                 out.append(Chunk(len(out), first, last, body.decode("utf-8", "replace")))
@@ -185,14 +192,21 @@ def chunk_text(text: str, target: int = TARGET, overlap: int = OVERLAP, drop_car
 
 def chunk_documents(docs: DataFrame, path_col: str, text_col: str, target: int = TARGET, overlap: int = OVERLAP, cap: int | None = None) -> DataFrame:
     """id, file_path, chunk_index, line_start, line_end, text; one Arrow pass, no
-    shuffle.  All chunks of a text come out unless *cap* is set."""
+    shuffle.  All chunks of a text come out unless *cap* is set.  A text with a
+    line over ``MAX_LINE`` bytes gives none; :func:`chunk_errors` names it."""
+
+    def chunks_of(text: str) -> list[Chunk]:
+        try:
+            return chunk_text(text, target, overlap)[:cap]
+        except ValueError:
+            return []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [
                 (f"{path}#chunk-{c.chunk_index}", path, c.chunk_index, c.line_start, c.line_end, c.text)
                 for path, text in zip(frame["file_path"], frame["text"])
-                for c in chunk_text(text or "", target, overlap)[:cap]
+                for c in chunks_of(text or "")
             ]
             yield pd.DataFrame(rows, columns=["id", "file_path", "chunk_index", "line_start", "line_end", "text"])
 
@@ -200,5 +214,11 @@ def chunk_documents(docs: DataFrame, path_col: str, text_col: str, target: int =
     return docs.select(F.col(path_col).alias("file_path"), F.col(text_col).alias("text")).mapInPandas(run, kinds)
 
 
+def chunk_errors(docs: DataFrame, path_col: str, text_col: str) -> DataFrame:
+    """path, error of the texts that cannot be chunked."""
+    long = F.exists(F.split(F.col(text_col), "\n"), lambda x: F.octet_length(x) > MAX_LINE)
+    return docs.where(long).select(F.col(path_col).alias("path"), F.lit("line too long").alias("error"))
+
+
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.octet_length("text")).alias("bytes"), F.max("line_end").alias("last_line"))
