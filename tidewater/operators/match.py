@@ -7,6 +7,8 @@ rows as a scalar side of known size.  Only tokens of the query are expanded.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +22,17 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def term_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """term, df, cf. Counting within each document first keeps a frequent term
-    to one row per document in the shuffle."""
-    per_doc = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    """term, df, cf: a row's distinct tokens count for df and all for cf, both in
+    one aggregation by term that combines on the map side."""
+
+    def marks(t: Column) -> Column:
+        return F.concat(
+            F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))),
+            F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))),
+        )
+
+    every = docs.select(F.explode(let(tokens(F.col(text_col)), marks)).alias("x"))
+    return every.groupBy("x.term").agg(F.sum("x.d").alias("df"), F.sum("x.c").alias("cf"))
 
 
 def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
@@ -76,13 +85,70 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
         *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))],
     )
     matched = rows.where(" and ".join(f"f{i} > 0" for i in range(len(phrases)))).join(F.broadcast(stats))
+    return matched.select(id_col, _bm25_score(len(phrases)).alias("score"))
+
+
+def _bm25_score(n_phrases: int) -> Column:
+    """From n_docs, avgdl, dl and, for each phrase, n<i> and f<i>."""
     score = F.lit(0.0)
-    for i in range(len(phrases)):
+    for i in range(n_phrases):
         n, f = F.col(f"n{i}"), F.col(f"f{i}")
         raw = F.log((F.col("n_docs") - n + 0.5) / (n + 0.5))
         idf = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
         score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return matched.select(id_col, score.alias("score"))
+    return score
+
+
+def _back(k: int, x: Column) -> Column:
+    return x - k
+
+
+BUCKETS = 64
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def index_postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """term, id, positions, dl (tokens of the document), bucket: what a store
+    keeps, laid out by bucket, so a query reads the buckets of its terms only."""
+    rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
+    out = rows.select("id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
+    found = out.groupBy("term", "id", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return found.select("term", "id", "positions", "dl", term_bucket(F.col("term")).alias("bucket"))
+
+
+def corpus_size(docs: DataFrame, text_col: str) -> DataFrame:
+    """One row: number of documents and of their tokens."""
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.size(tokens(F.col(text_col)))), F.lit(0)).alias("n_tokens"))
+
+
+def search_postings(found: DataFrame, corpus: DataFrame, query: str, limit: int, order: str = "relevance") -> DataFrame:
+    """id, score as :func:`keyword_search` gives them, from stored postings.
+    Rows of the query's terms meet by document; texts are not read."""
+    phrases = query_phrases(query)
+    terms = sorted({t for p in phrases for t in p})
+    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    here = found.where(F.col("term").isin(terms) & F.array_contains(F.transform(wanted, term_bucket), F.col("bucket")))
+    by_doc = here.groupBy("id", "dl").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+
+    def frequency(phrase: list[str]) -> Column:
+        if not phrase:
+            return F.lit(0)
+        places = [F.coalesce(F.try_element_at("at", F.lit(t)), F.array().cast("array<int>")) for t in phrase]
+        hits = places[0]
+        for k, p in enumerate(places[1:], 1):  # where the k-th token stands k places further on
+            hits = F.array_intersect(hits, F.transform(p, partial(_back, k)))
+        return F.size(hits)
+
+    rows = by_doc.select("id", "dl", *[frequency(p).alias(f"f{i}") for i, p in enumerate(phrases)])
+    stats = rows.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
+    stats = stats.join(F.broadcast(corpus.select("n_docs", (F.col("n_tokens") / F.col("n_docs")).alias("avgdl"))))
+    matched = rows.where(" and ".join(f"f{i} > 0" for i in range(len(phrases)))).join(F.broadcast(stats))
+    scored = matched.select("id", F.round(_bm25_score(len(phrases)), 6).alias("score"))
+    by = F.asc("score") if order == "relevance" else F.desc("score")
+    return scored.orderBy(by, "id").limit(limit)
 
 
 def keyword_search(docs: DataFrame, id_col: str, text_col: str, query: str, limit: int, order: str = "relevance") -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import tokens
+from tidewater.functions.text import let, plain_tokens, tokens
 from tidewater.functions.vectors import cosine
 
 
@@ -21,6 +22,23 @@ class Embedder(Protocol):
     def encode_batch(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class HashEmbedder:
+    """A deterministic embedder without a model: hashed tokens, L2-normalised."""
+
+    def __init__(self, dim: int = 64):
+        self.dim, self.model = dim, f"hash-{dim}"
+
+    def encode_batch(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for text in texts:
+            v = [0.0] * self.dim
+            for t in plain_tokens(text):
+                v[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % self.dim] += 1.0
+            norm = sum(x * x for x in v) ** 0.5
+            out.append([x / norm if norm else 0.0 for x in v])
+        return out
+
+
 def top_k(vectors: DataFrame, id_col: str, vec_col: str, query: list[float], k: int) -> DataFrame:
     """Exact cosine top-k. The query is a literal, vectors of other dimension are
     ignored, every task keeps k rows and only those meet."""
@@ -31,14 +49,16 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, query: list[float], k:
 
 def hash_embed(docs: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """id, dim, value: bag of hashed tokens, L2-normalised, as coordinates."""
-    bucket = (F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    counted = (
-        docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("term"))
-        .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-        .groupBy(id_col, bucket.alias("dim")).agg(F.sum("tf").alias("v"))
-    )
-    norm = counted.groupBy(id_col).agg(F.sqrt(F.sum((F.col("v") * F.col("v")).cast("double"))).alias("norm"))
-    return counted.join(norm, id_col).select(id_col, "dim", F.round(F.col("v") / F.col("norm"), 6).alias("value"))
+    def bucket(term: Column) -> Column:
+        return (F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int")
+
+    def counts(b: Column) -> Column:  # a row has at most *dim* distinct buckets
+        return F.transform(F.array_distinct(b), lambda d: F.struct(d.alias("dim"), (F.size(b) - F.size(F.array_remove(b, d))).alias("v")))
+
+    counted = docs.select(id_col, let(F.transform(tokens(F.col(text_col)), bucket), counts).alias("c"))
+    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + (x["v"] * x["v"]).cast("double")))
+    rows = counted.select(id_col, norm.alias("norm"), F.explode("c").alias("x"))
+    return rows.select(id_col, "x.dim", F.round(F.col("x.v") / F.col("norm"), 6).alias("value"))
 
 
 def embed_with(docs: DataFrame, id_col: str, text_col: str, embedder: Embedder, batch: int = 32) -> DataFrame:

@@ -132,6 +132,13 @@ def keyword_search(spark, sf_dir):
     return match.keyword_search(read(spark, sf_dir, "documents"), "doc_id", "text", KEYWORDS, 10)
 
 
+@query(f"WITH {SQL_BM25} SELECT doc_id, score FROM bm ORDER BY score, doc_id LIMIT 10")
+def keyword_search_postings(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    found = match.index_postings(docs, "doc_id", "text")
+    return match.search_postings(found, match.corpus_size(docs, "text"), KEYWORDS, 10).withColumnRenamed("id", "doc_id")
+
+
 @query(f"WITH {SQL_BM25} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 10")
 def keyword_search_ref_order(spark, sf_dir):
     return match.keyword_search(read(spark, sf_dir, "documents"), "doc_id", "text", KEYWORDS, 10, "reference")
@@ -340,7 +347,7 @@ def upsert_files(spark, sf_dir):
 @query(
     f"""WITH {SQL_FILES}, o AS (SELECT path AS file_path, i AS chunk_index, 'old' AS state FROM files, range(3) r(i)),
     n AS (SELECT path AS file_path, i AS chunk_index, 'new' AS state FROM files, range(70) r(i) WHERE doc_id % 10 = 0)
-    SELECT file_path, CAST(chunk_index AS INT) AS chunk_index, state FROM o WHERE file_path NOT IN (SELECT file_path FROM n)
+    SELECT file_path, CAST(chunk_index AS INT) AS chunk_index, state FROM o ANTI JOIN (SELECT DISTINCT file_path FROM n) g USING (file_path)
     UNION ALL SELECT file_path, CAST(chunk_index AS INT), state FROM n WHERE chunk_index < 64"""
 )
 def replace_chunks(spark, sf_dir):

@@ -14,6 +14,9 @@ from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.operators import match
 
 SCHEMA_VERSION = 2
 SCHEMAS = {
@@ -21,6 +24,11 @@ SCHEMAS = {
     "chunks": "id string, file_path string, chunk_index int, line_start int, line_end int, text string",
     "vectors": "chunk_id string, embedding array<float>",
 }
+#: Made from the chunks at every commit of them.
+DERIVED = {
+    "postings": "term string, id string, positions array<int>, dl int, bucket int",
+    "corpus": "n_docs long, n_tokens long",
+}
 
 
 def now_utc() -> str:
@@ -55,8 +63,8 @@ class Store:
         version = self.manifest()["version"]
         path = os.path.join(self.root, f"v={version}", name)
         if version == 0 or not os.path.isdir(path):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(path)
+            return self.spark.createDataFrame([], (SCHEMAS | DERIVED)[name])
+        return self.spark.read.schema((SCHEMAS | DERIVED)[name]).parquet(path)
 
     @contextmanager
     def writer(self):
@@ -76,6 +84,11 @@ class Store:
             for name in SCHEMAS:
                 df = tables.get(name, self.table(name))
                 df.write.mode("overwrite").parquet(os.path.join(self.root, f"v={version}", name))
+            chunks = self.spark.read.schema(SCHEMAS["chunks"]).parquet(os.path.join(self.root, f"v={version}", "chunks"))
+            terms = match.index_postings(chunks, "id", "text")
+            terms = terms.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term")
+            terms.write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(self.root, f"v={version}", "postings"))
+            match.corpus_size(chunks, "text").write.mode("overwrite").parquet(os.path.join(self.root, f"v={version}", "corpus"))
             new = old | {"version": version, "meta": old["meta"] | (meta or {})}
             temporary = os.path.join(self.root, "manifest.json.new")
             with open(temporary, "w", encoding="utf-8") as f:
