@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,7 +33,7 @@ def tokens(text: Column) -> Column:
 def plain_tokens(text: str) -> list[str]:
     """The same tokens of a query string, on the driver."""
     folded = text.replace("İ", "i").lower().translate(str.maketrans(FOLD_FROM, FOLD_TO))
-    return re.findall(r"[^\W_]+", folded)
+    return regex.findall(TOKEN, folded)
 
 
 def query_phrases(query: str) -> list[list[str]]:
@@ -80,7 +79,9 @@ def base_name(path: Column) -> Column:
 
 
 def parent(path: Column) -> Column:
-    return F.regexp_replace(path, r"/[^/]+$", "")
+    """The folder of a path: ``/`` for a file right below it, null without one."""
+    above = F.regexp_replace(path, r"/[^/]*$", "")
+    return F.when(~F.contains(path, F.lit("/")), F.lit(None).cast("string")).when(above == "", "/").otherwise(above)
 
 
 def extension(path: Column) -> Column:

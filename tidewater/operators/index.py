@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from tidewater.functions.text import base_name, extension, parent, under
 
 # Directories that a walk does not enter below its root.
-SKIP_DIRS = (".git", ".cursor", "node_modules", "vendor", "bin", ".searchify")
+SKIP_DIRS = (".git", ".cursor", "node_modules", "vendor", "bin")
 MAX_FILE = 2 * 1024 * 1024
 
 

@@ -27,8 +27,8 @@ def score_line(text: Column, terms: list[str], case_sensitive: bool) -> tuple[Co
     return total + F.when(n == len(terms), 2).otherwise(0), n
 
 
-def line_search(docs: DataFrame, id_col: str, text_col: str, query: str, limit: int | None = 10, case_sensitive: bool = False, per_doc: int | None = None) -> DataFrame:
-    """id, line, score, n_terms of matching lines, best first."""
+def line_search(docs: DataFrame, id_col: str, text_col: str, query: str, limit: int | None = 10, case_sensitive: bool = False, per_doc: int | None = None, with_text: bool = False) -> DataFrame:
+    """id, line, score, n_terms (and the line's text, if asked for) of matching lines, best first."""
     terms = line_terms(query, case_sensitive)
     if not terms:
         raise ValueError("query has no searchable terms")
@@ -36,7 +36,7 @@ def line_search(docs: DataFrame, id_col: str, text_col: str, query: str, limit:
     # any term first: most lines end there
     own = F.col("text") if case_sensitive else F.lower("text")
     found = lines(docs, id_col, text_col).where(sum((own.contains(t).cast("int") for t in terms[1:]), own.contains(terms[0]).cast("int")) > 0)
-    hits = found.select(id_col, "line", score.alias("score"), n.alias("n_terms"))
+    hits = found.select(id_col, "line", score.alias("score"), n.alias("n_terms"), *(["text"] if with_text else []))
     order = [F.desc("score"), F.desc("n_terms"), F.asc("line")]
     if per_doc is not None:
         place = F.row_number().over(Window.partitionBy(id_col).orderBy(*order))

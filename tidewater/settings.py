@@ -68,7 +68,7 @@ class Settings:
             raise ValueError("at least one root is needed")
         if self.embed_model not in EMBED_MODELS:
             raise ValueError(f"unknown embed model {self.embed_model!r}")
-        if self.embed_backend not in ("none", "inline"):
+        if self.embed_backend not in ("none", "inline", "hash"):
             raise ValueError(f"unknown embed backend {self.embed_backend!r}")
         if self.overlap_bytes >= self.chunk_bytes:
             raise ValueError("overlap must be smaller than the chunk")
@@ -127,7 +127,8 @@ class Settings:
         found = [p for p in self.candidates(path) if os.path.exists(p)]
         if not found:
             raise FileNotFoundError(path)
-        if self.path_base and found[0].startswith(os.path.abspath(self.path_base)):
+        base = os.path.abspath(self.path_base) if self.path_base else None
+        if base and (found[0] == base or found[0].startswith(base.rstrip("/") + "/")):
             return found[0]
         if len(found) > 1:
             raise ValueError(f"{path} is ambiguous: {', '.join(found)}")

@@ -7,8 +7,10 @@ import email
 import io
 import re
 import shutil
+import signal
 import subprocess
 import tempfile
+import threading
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -267,6 +269,25 @@ class Registry:
     def formats(self) -> dict[str, str]:
         return {e: name for e, (name, _) in self.by_extension.items()}
 
+    def extract_within(self, ext: str, data: bytes, seconds: float):
+        """:meth:`extract`, given up after so many seconds (in a main thread, as
+        tasks have it): one file that hangs is an error row, not a stuck job."""
+        if seconds <= 0 or threading.current_thread() is not threading.main_thread():
+            return self.extract(ext, data)
+
+        def late(*_):
+            raise TimeoutError(f"extraction took over {seconds:g} s")
+
+        before = signal.signal(signal.SIGALRM, late)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            return self.extract(ext, data)
+        except TimeoutError as e:
+            return "error", None, [], str(e)
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+
     def extract(self, ext: str, data: bytes) -> tuple[str, str | None, list[str], str | None]:
         """(status, text, warnings, error); never raises."""
         try:
@@ -287,9 +308,10 @@ def dispatch(files: DataFrame, path_col: str, registry: Registry | None = None)
     return files.select(F.col(path_col).alias("path"), F.element_at(table, extension(F.col(path_col))).alias("format"))
 
 
-def extract_files(files: DataFrame, path_col: str, content_col: str, max_bytes: int | None = None, registry: Registry | None = None) -> DataFrame:
+def extract_files(files: DataFrame, path_col: str, content_col: str, max_bytes: int | None = None, registry: Registry | None = None, seconds: float = 0) -> DataFrame:
     """path, status, text, warn, error; the text is whole, or with *max_bytes*
-    cut at so many bytes, on a character's border."""
+    cut at so many bytes, on a character's border.  With *seconds* a file that
+    takes longer is an error."""
     registry = registry or Registry()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -297,7 +319,7 @@ def extract_files(files: DataFrame, path_col: str, content_col: str, max_bytes:
             rows = []
             for path, data in zip(frame["path"], frame["content"]):
                 dot = re.search(r"\.[^./]*$", path or "")
-                status, text, warn, error = registry.extract(dot[0] if dot else "", bytes(data or b""))
+                status, text, warn, error = registry.extract_within(dot[0] if dot else "", bytes(data or b""), seconds)
                 if max_bytes is not None and text is not None and len(raw := text.encode("utf-8", "replace")) > max_bytes:
                     text, warn = raw[:max_bytes].decode("utf-8", "ignore"), [*warn, f"cut at {max_bytes} bytes"]
                 rows.append((path, status, text, warn, error))
