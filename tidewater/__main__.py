@@ -1,14 +1,29 @@
-"""Command line: python -m tidewater index|embed|remove|prune|search|list|stats|status ..."""
+"""Command line: python -m tidewater index|embed|extract|remove|prune|search|list|stats|status|serve ..."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
 
 from tidewater.service import Engine
+from tidewater.server import Server
+from tidewater.session import Session
 from tidewater.settings import Settings
+from tidewater.sources.extract import Registry
+
+
+def extract(path: str) -> int:
+    """Print the text of one file; 1 if there is none."""
+    with open(path, "rb") as f:
+        status, text, warn, error = Registry().extract_within(os.path.splitext(path)[1], f.read(), 30.0)
+    for line in [*warn, *([error or status] if status != "ok" else [])]:
+        print(line, file=sys.stderr)
+    if status == "ok":
+        print(text)
+    return int(status != "ok")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -18,7 +33,15 @@ def main(argv: list[str] | None = None) -> int:
         s = sub.add_parser(name)
         s.add_argument("paths", nargs="+")
         s.add_argument("--force", action="store_true")
-    sub.add_parser("prune").add_argument("--dry-run", action="store_true")
+    s = sub.add_parser("prune")
+    s.add_argument("paths", nargs="*")
+    s.add_argument("--dry-run", action="store_true")
+    sub.add_parser("embed").add_argument("--force", action="store_true")
+    sub.add_parser("extract").add_argument("path")
+    s = sub.add_parser("serve")
+    s.add_argument("--host", default="127.0.0.1")
+    s.add_argument("--port", type=int, default=8787)
+    s.add_argument("--token")
     s = sub.add_parser("search")
     s.add_argument("query")
     s.add_argument("--limit", type=int, default=10)
@@ -27,9 +50,15 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("stats")
     sub.add_parser("status")
     a = p.parse_args(argv)
+    if a.command == "extract":
+        return extract(a.path)
     engine = Engine(SparkSession.builder.appName("tidewater").getOrCreate(), Settings.from_env())
-    if a.command in ("index", "remove", "prune"):
-        report = {"index": lambda: engine.index_paths(a.paths, a.force), "remove": lambda: engine.remove_paths(a.paths), "prune": lambda: engine.prune(a.dry_run)}[a.command]()
+    if a.command == "serve":
+        with Server((a.host, a.port), Session(engine), a.token) as server:
+            server.serve_forever()
+        return 0
+    if a.command in ("index", "remove", "prune", "embed"):
+        report = {"index": lambda: engine.index_paths(a.paths, a.force), "remove": lambda: engine.remove_paths(a.paths), "prune": lambda: engine.prune(a.dry_run, a.paths), "embed": lambda: engine.embed_files(a.force)}[a.command]()
         print(report)
         return int(report.errors > 0)
     rows = {"search": lambda: engine.search(a.query, a.limit, a.mode), "list": lambda: engine.list_files(a.prefix), "stats": engine.stats, "status": engine.status}[a.command]()

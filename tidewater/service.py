@@ -38,6 +38,8 @@ class Engine:
         self.spark, self.settings, self.embedder = spark, settings, embedder
         self.store = Store(spark, settings.index_dir)
         self.registry = Registry(settings.text_only)
+        if self.embedder is None and settings.embed_backend == "hash":
+            self.embedder = vector.HashEmbedder()
 
     # -- indexing
 
@@ -56,7 +58,10 @@ class Engine:
                 yield frame
 
         loaded = todo.mapInPandas(load, "path string, mtime_ns long, size long, status string, content binary")
-        got = extract_files(loaded, "path", "content", s.max_extract_bytes, self.registry).withColumnRenamed("status", "outcome").cache()
+        got = extract_files(loaded, "path", "content", s.max_extract_bytes, self.registry, s.extract_timeout).withColumnRenamed("status", "outcome")
+        failed = chunker.chunk_errors(got.where("outcome = 'ok'"), "path", "text")
+        got = got.join(failed.withColumnRenamed("error", "fault"), "path", "left")
+        got = got.withColumn("outcome", F.when(F.col("fault").isNotNull(), "error").otherwise(F.col("outcome"))).withColumn("error", F.coalesce("fault", "error")).drop("fault").cache()
         good = got.where("outcome = 'ok'")
         hashed = todo.join(good, "path").select("path", "mtime_ns", "size", T.content_hash(F.col("text")).alias("content_hash"), F.lit(now_utc()).alias("indexed_at"))
         fresh = chunker.chunk_documents(good, "path", "text", s.chunk_bytes, s.overlap_bytes, s.max_chunks)
@@ -120,16 +125,19 @@ class Engine:
             self.store.commit(self._survivors(keep))
         return report
 
-    def prune(self, dry_run: bool = False) -> Report:
+    def prune(self, dry_run: bool = False, paths: list[str] | None = None) -> Report:
+        """Removes what is no longer on disk, below *paths* only if given."""
         files = self.store.table("files")
+        scope = [c for p in paths or [] for c in self.settings.candidates(p)]
+        within = files.where(index.under_any(F.col("path"), scope)) if scope else files
 
         def exists(frames):
             for frame in frames:
                 yield frame[[os.path.exists(p) for p in frame["path"]]]
 
-        on_disk = files.select("path").mapInPandas(exists, "path string")
-        orphans = index.prune_orphans(files, on_disk, self.settings.roots).cache()
-        report = Report(scanned=files.count(), removed=orphans.count(), dry_run=dry_run)
+        on_disk = within.select("path").mapInPandas(exists, "path string")
+        orphans = index.prune_orphans(within, on_disk, self.settings.roots).cache()
+        report = Report(scanned=within.count(), removed=orphans.count(), dry_run=dry_run)
         if report.removed and not dry_run:
             self.store.commit(self._survivors(files.join(orphans, "path", "left_anti")))
         orphans.unpersist()
@@ -164,7 +172,7 @@ class Engine:
         pool = fusion.POOL if mode == "hybrid" else limit
         words = near = None
         if mode != "vector":
-            words = match.keyword_search(chunks, "id", "text", query, pool, order)
+            words = match.search_postings(self.store.table("postings"), self.store.table("corpus"), query, pool, order)
         if mode != "keyword" and usable:
             near = vector.top_k(vectors, "chunk_id", "embedding", self.embedder.encode_batch([query])[0], pool).withColumnRenamed("chunk_id", "id")
         if mode == "hybrid":
@@ -184,4 +192,4 @@ class Engine:
         if text is None:
             raise ValueError(error or status)
         one = self.spark.createDataFrame([(whole, text)], "path string, text string")
-        return lines.line_search(one, "path", "text", query, limit if limit > 0 else 10, case_sensitive)
+        return lines.line_search(one, "path", "text", query, limit if limit > 0 else 10, case_sensitive, with_text=True)
