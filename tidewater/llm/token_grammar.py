@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.shared import filesystem, materialise, scratch
+from tidewater.llm.shared import filesystem, keep_freed_memory, materialise, scratch
 
 END = 2
 MAGIC = b"TWGRAM01"
@@ -247,6 +247,7 @@ _loaded: dict[str, ChunkEncoder] = {}
 
 def _encoder(path: str) -> ChunkEncoder:
     if path not in _loaded:
+        keep_freed_memory()
         _loaded[path] = ChunkEncoder(path)
     return _loaded[path]
 
@@ -258,21 +259,14 @@ def _slot(pair: np.ndarray) -> np.ndarray:
     return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
 
 
-def _marked(pairs: np.ndarray) -> np.ndarray:
-    """A table that holds for the slots of these pairs."""
-    table = np.zeros(1 << _HASH_BITS, bool)
-    table[_slot(pairs)] = True
-    return table
-
-
-def _win(spot: np.ndarray, priority: np.ndarray) -> np.ndarray:
+def _win(spot: np.ndarray, follow: np.ndarray, priority: np.ndarray) -> np.ndarray:
     """Which of the pairs at ascending places *spot* are taken: those that no
     overlapping pair of higher priority takes first, in two turns."""
     taken, open_ = np.zeros(len(spot), bool), np.arange(len(spot))
     for _ in range(2):
         if not len(open_):
             break
-        near, p = np.diff(spot[open_]) == 1, priority[open_]
+        near, p = follow[open_][:-1] == spot[open_][1:], priority[open_]
         win = np.ones(len(open_), bool)
         win[1:] &= ~(near & (p[:-1] > p[1:]))
         win[:-1] &= ~(near & (p[1:] > p[:-1]))
@@ -284,7 +278,7 @@ def _win(spot: np.ndarray, priority: np.ndarray) -> np.ndarray:
     return taken
 
 
-def compress(seq: np.ndarray, starts: np.ndarray, base: int, least: int = 2, share: int = 4):
+def compress(seq: np.ndarray, starts: np.ndarray, base: int, least: int = 2, share: int = 16):
     """Re-Pair over one shard.
 
     *seq*: token ids below *base*; *starts*: index of each document's first
@@ -292,59 +286,78 @@ def compress(seq: np.ndarray, starts: np.ndarray, base: int, least: int = 2, sha
 
     Of the pairs chosen in a round the most frequent one gets all its places, so
     every round makes a rule.  A pair that occurs once can only occur again
-    beside a new symbol; until then its place is not counted any more.
+    beside a new symbol; until then its place is not counted any more.  Symbols
+    stay in their places and are linked, so a round costs what it counts.
     """
-    seq = np.asarray(seq).astype(np.uint32)
-    last = np.zeros(len(seq), bool)  # the last symbol of each document
+    seq = np.array(seq, np.uint32)
+    n = len(seq)
+    last = np.zeros(n, bool)  # the last symbol of each document
     last[np.asarray(starts[1:]) - 1] = True
     last[-1:] = True
-    fresh = ~last  # places whose pair may occur again
+    fresh, gone = ~last, np.zeros(n, bool)  # places whose pair may occur again; places without a symbol
+    following, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    owner = np.zeros(1 << _HASH_BITS, np.int32)
     rules: list[np.ndarray] = []
     lengths = np.empty(0, np.uint32)
     while len(at := np.flatnonzero(fresh)) > 1:
-        twins = np.flatnonzero(seq[at] == seq[at + 1])
+        at = at.astype(np.int32)
+        follow = following[at]
+        left, right = seq[at], seq[follow]
+        twins = np.flatnonzero(left == right)
         if len(twins):  # in a run of one symbol every second pair counts, from the left
-            run = np.flatnonzero(np.concatenate(([True], np.diff(at[twins]) != 1)))
+            run = np.flatnonzero(np.concatenate(([True], follow[twins[:-1]] != at[twins[1:]])))
             in_run = np.arange(len(twins)) - np.repeat(run, np.diff(np.concatenate((run, [len(twins)]))))
-            at = np.delete(at, twins[in_run % 2 == 1])
-        pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+            one = np.ones(len(at), bool)
+            one[twins[in_run % 2 == 1]] = False
+            at, follow, left, right = at[one], follow[one], left[one], right[one]
+        pair = (left.astype(np.uint64) << np.uint64(32)) | right
         ordered = np.sort(pair)
         edge = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]))
         count = np.diff(edge)
         top = int(count.max())
         if top < least:
             break
-        good = np.flatnonzero(count >= max(least, -(-top // share)))
-        chosen, often = ordered[edge[good]], count[good]
-        slot = _slot(pair)
-        fresh[at[~_marked(ordered[edge[:-1][count > 1]])[slot]]] = False
-        likely = np.flatnonzero(_marked(chosen)[slot])
-        rule = np.minimum(np.searchsorted(chosen, pair[likely]), len(chosen) - 1)
-        hit = chosen[rule] == pair[likely]
-        at, rule = at[likely[hit]], rule[hit]
+        distinct, many = ordered[edge[:-1]], count > 1
+        good = count >= max(least, -(-top // share))
+        chosen, often = distinct[good], count[good]
+        kind = np.zeros(1 << _HASH_BITS, np.uint8)  # by slot: some pair occurs again, some pair is chosen
+        kind[_slot(distinct[many])] = 1
+        kind[_slot(chosen)] = 2
+        kind = kind[_slot(pair)]
+        fresh[at[kind == 0]] = False
+        likely = np.flatnonzero(kind == 2)
+        wanted = pair[likely]
+        slot = _slot(wanted)
+        owner[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
+        rule = owner[slot]
+        other = np.flatnonzero(chosen[rule] != wanted)  # of chosen pairs with one slot the last owns it
+        rule[other] = np.minimum(np.searchsorted(chosen, wanted[other]), len(chosen) - 1)
+        hit = chosen[rule] == wanted
+        likely, rule = likely[hit], rule[hit]
+        at, follow = at[likely], follow[likely]
         priority = np.empty(len(chosen), np.int64)
         priority[np.argsort(often, kind="stable")] = np.arange(len(chosen))
-        taken = _win(at, priority[rule])
-        at, rule = at[taken], rule[taken]
-        used = np.bincount(rule, minlength=len(chosen)) >= least  # others get no rule and are counted again
-        at, rule, chosen = at[used[rule]], (np.cumsum(used) - 1)[rule[used[rule]]], chosen[used]
+        taken = _win(at, follow, priority[rule])
+        used = np.bincount(rule[taken], minlength=len(chosen)) >= least  # others get no rule and are counted again
+        taken &= used[rule]
+        at, follow, rule = at[taken], follow[taken], (np.cumsum(used) - 1)[rule[taken]]
+        chosen = chosen[used]
         left, right = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
         known = np.concatenate((np.ones(1, np.uint32), lengths))
-        first_new = base + len(lengths)
+        seq[at] = base + len(lengths) + rule
         rules.append(np.stack([left, right], axis=1).astype(np.uint32))
         lengths = np.concatenate((lengths, known[np.maximum(left - base + 1, 0)] + known[np.maximum(right - base + 1, 0)]))
-        seq[at] = first_new + rule
-        last[at] = last[at + 1]
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq, last, fresh = seq[stay], last[stay], fresh[stay]
-        new = np.flatnonzero(seq >= first_new)
-        fresh[new] = True
-        fresh[np.maximum(new - 1, 0)] = True
-        fresh &= ~last
+        last[at], gone[follow], fresh[follow] = last[follow], True, False
+        after = following[follow]
+        following[at] = after
+        inner = after < n
+        before[after[inner]] = at[inner]
+        near = before[at]
+        near = np.concatenate((at, near[near >= 0]))
+        fresh[near] = ~last[near]
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
-    symbol_starts = np.concatenate(([0], np.flatnonzero(last) + 1))
-    return seq, symbol_starts, table, lengths
+    symbol_starts = np.concatenate(([0], np.flatnonzero(last[~gone]) + 1))
+    return seq[~gone], symbol_starts, table, lengths
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -359,18 +372,24 @@ def unpack(rows: np.ndarray) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, base: int, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Tokens of a run of symbols: rules are opened level by level."""
-    seq = symbols.astype(np.uint32)
-    while True:
-        at = np.flatnonzero(seq >= base)
-        if not len(at):
-            return seq
-        repeat = np.ones(len(seq), np.int64)
-        repeat[at] = 2
-        place = (np.cumsum(repeat) - repeat)[at]
-        rule = rules[seq[at] - base]
-        seq = np.repeat(seq, repeat)
-        seq[place], seq[place + 1] = rule[:, 0], rule[:, 1]
+    """Tokens of a run of symbols.  The lengths say where each symbol's tokens
+    go; rules are opened level by level, tokens are put down and done with."""
+    seq = np.asarray(symbols, np.uint32)
+    widths = np.concatenate((np.ones(1, np.int32), lengths.astype(np.int32)))  # by symbol less base and one, tokens at 0
+
+    def width(s: np.ndarray) -> np.ndarray:
+        return widths[np.maximum(s, np.uint32(base - 1)) - np.uint32(base - 1)]
+
+    wide = width(seq)
+    at = np.cumsum(wide, dtype=np.int64) - wide
+    out = np.empty(int(wide.sum(dtype=np.int64)), np.uint32)
+    while len(seq):
+        token = seq < base
+        out[at[token]] = seq[token]
+        seq, at = seq[~token], at[~token]
+        pair = rules[seq - np.uint32(base)]
+        seq, at = np.concatenate((pair[:, 0], pair[:, 1])), np.concatenate((at, at + width(pair[:, 0])))
+    return out
 
 
 class Shard:
