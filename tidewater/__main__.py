@@ -1,4 +1,4 @@
-"""Command line: python -m tidewater index|embed|extract|remove|prune|search|list|stats|status|serve ..."""
+"""Command line: python -m tidewater index|embed|extract|remove|prune|search|list|stats|status|serve|watch ..."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from tidewater.server import Server
 from tidewater.session import Session
 from tidewater.settings import Settings
 from tidewater.sources.extract import Registry
+from tidewater.streaming.watcher import Watcher
 
 
 def extract(path: str) -> int:
@@ -26,6 +27,19 @@ def extract(path: str) -> int:
     return int(status != "ok")
 
 
+def follow(engine: Engine, checkpoint: str) -> int:
+    """Keep the index up to date with the watch paths until interrupted."""
+    watcher = Watcher(engine, lambda report: print(report, file=sys.stderr))
+    query = watcher.start(checkpoint)
+    try:
+        query.awaitTermination()
+    except KeyboardInterrupt:
+        pass
+    finally:
+        watcher.stop()
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tidewater")
     sub = p.add_subparsers(dest="command", required=True)
@@ -42,6 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--host", default="127.0.0.1")
     s.add_argument("--port", type=int, default=8787)
     s.add_argument("--token")
+    sub.add_parser("watch").add_argument("--checkpoint", required=True, help="folder of the stream's state")
     s = sub.add_parser("search")
     s.add_argument("query")
     s.add_argument("--limit", type=int, default=10)
@@ -54,9 +69,11 @@ def main(argv: list[str] | None = None) -> int:
         return extract(a.path)
     engine = Engine(SparkSession.builder.appName("tidewater").getOrCreate(), Settings.from_env())
     if a.command == "serve":
-        with Server((a.host, a.port), Session(engine), a.token) as server:
+        with Server((a.host, a.port), Session.open(engine), a.token) as server:
             server.serve_forever()
         return 0
+    if a.command == "watch":
+        return follow(engine, a.checkpoint)
     if a.command in ("index", "remove", "prune", "embed"):
         report = {"index": lambda: engine.index_paths(a.paths, a.force), "remove": lambda: engine.remove_paths(a.paths), "prune": lambda: engine.prune(a.dry_run, a.paths), "embed": lambda: engine.embed_files(a.force)}[a.command]()
         print(report)

@@ -37,7 +37,7 @@ class Engine:
     def __init__(self, spark: SparkSession, settings: Settings, embedder: vector.Embedder | None = None):
         self.spark, self.settings, self.embedder = spark, settings, embedder
         self.store = Store(spark, settings.index_dir)
-        self.registry = Registry(settings.text_only)
+        self.registry = Registry(settings.text_only, settings.ocr_language if settings.ocr else None)
         if self.embedder is None and settings.embed_backend == "hash":
             self.embedder = vector.HashEmbedder()
 

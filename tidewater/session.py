@@ -12,7 +12,7 @@ from dataclasses import asdict
 
 from tidewater.service import Engine
 from tidewater.settings import local_limit
-from tidewater.sources.web import WebClient
+from tidewater.sources.web import WebClient, http_transport
 
 
 def _ms(began: float) -> int:
@@ -24,21 +24,26 @@ class Session:
         """*reranker*: a function (query, snippets) -> [(index, score)], or None."""
         self.engine, self.web, self.reranker = engine, web, reranker
 
+    @classmethod
+    def open(cls, engine: Engine) -> Session:
+        """With web search and reranking where the settings name a service."""
+        s = engine.settings
+        web = WebClient(http_transport(s.web_url, s.web_key)) if s.web_url and s.web_key else None
+        return cls(engine, web, None if web is None else lambda query, texts: web.rerank(query, texts, len(texts)))
+
     def search_local(self, query: str, limit: int = 10, mode: str = "", rerank: bool = False) -> dict:
         """count, results, duration_ms and timing of the search and of the rerank."""
         began = time.monotonic()
         if not query.strip():
             raise ValueError("query is empty")
+        if rerank and self.reranker is None:
+            raise ValueError("reranking needs a web search API key")
         rows = [r.asDict() for r in self.engine.search(query, local_limit(limit), mode).collect()]
         timing = {"search_ms": _ms(began)}
-        if rerank and self.reranker is not None and rows:
+        if rerank and rows:
             start = time.monotonic()
-            scores = self.reranker(query, [r["snippet"] for r in rows])
-            spark = self.engine.spark
-            hits = spark.createDataFrame([(i, r["id"]) for i, r in enumerate(rows)], "index int, id string")
-            placed = hits.join(spark.createDataFrame([(int(i), float(x)) for i, x in scores], "index int, score double"), "index")
-            by_id = {r["id"]: r for r in rows}
-            rows = [by_id[r["id"]] | {"score": r["score"]} for r in placed.orderBy(placed["score"].desc(), "index").collect()]
+            # in the reranker's order; a page of results, so the driver does it
+            rows = [rows[i] | {"score": float(x)} for i, x in self.reranker(query, [r["snippet"] for r in rows])]
             timing["rerank_ms"] = _ms(start)
         return {"count": len(rows), "results": rows, "duration_ms": _ms(began), "timing": timing}
 

@@ -60,6 +60,9 @@ class Settings:
     text_only: bool = False
     extract_timeout: float = 30.0
     web_key: str | None = None
+    web_url: str | None = None
+    ocr: bool = True
+    ocr_language: str = "eng"
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "roots", _unique(self.roots))
@@ -100,7 +103,10 @@ class Settings:
             embed_backend=get("EMBED_BACKEND") or "none",
             text_only=parse_bool(get("TEXT_ONLY")),
             extract_timeout=parse_duration(get("EXTRACT_TIMEOUT") or "30s"),
-            web_key=get("WEB_KEY"),
+            web_key=get("WEB_KEY") or None,
+            web_url=get("WEB_URL") or None,
+            ocr=parse_bool(get("OCR"), True),
+            ocr_language=get("OCR_LANGUAGE") or "eng",
         )
 
     def under_any_root(self, path: str) -> bool:

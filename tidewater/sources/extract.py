@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import email
 import io
+import os
 import re
 import shutil
 import signal
@@ -12,8 +13,10 @@ import subprocess
 import tempfile
 import threading
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -38,6 +41,8 @@ Extractor = Callable[[bytes], Extracted]
 TEXT_EXTENSIONS = (
     ".txt .md .markdown .rst .log .json .yaml .yml .toml .xml .ini .cfg .conf .go .py .js .ts .java .sh .sql"
 ).split()
+#: bytes of an inflated PDF stream; a larger one is an error of its file
+PDF_STREAM = 1 << 28
 _BLOCKS = frozenset("br p div tr li h1 h2 h3 h4 h5 h6 section article".split())
 _HIDDEN = frozenset("script style noscript".split())
 
@@ -210,31 +215,64 @@ def _run(command: list[str], timeout: int = 30) -> str:
     return done.stdout.decode("utf-8", "replace")
 
 
-def pdf(data: bytes) -> Extracted:
-    """By pdftotext where it is installed; else the text operators of streams
-    that are not compressed, which is enough for simple generated files."""
+def scanned_pdf(data: bytes, language: str | None) -> Extracted:
+    """Pages as images, read by OCR; a page that fails is a warning."""
+    if language is None or not (shutil.which("pdftoppm") and shutil.which("tesseract")):
+        raise Skip("no text layer")
+    pages, warn = [], []
+    with tempfile.TemporaryDirectory() as folder:
+        with open(f"{folder}/in.pdf", "wb") as f:
+            f.write(data)
+        _run(["pdftoppm", "-png", "-r", "150", f.name, f"{folder}/page"], 300)
+        # the page numbers are padded to one width
+        for name in sorted(n for n in os.listdir(folder) if n.endswith(".png")):
+            try:
+                pages.append(_run(["tesseract", f"{folder}/{name}", "stdout", "-l", language]))
+            except (ValueError, subprocess.TimeoutExpired) as e:
+                warn.append(f"{name}: {e}")
+    text = "\n".join(p for p in pages if p.strip())
+    if not text:
+        raise Skip("no text layer, and OCR found none")
+    return Extracted(text, warn)
+
+
+def _inflated(stream: bytes) -> bytes:
+    """A stream as it is, or inflated where it is a zlib stream."""
+    unpack = zlib.decompressobj()
+    try:
+        out = unpack.decompress(stream, PDF_STREAM)
+    except zlib.error:
+        return stream
+    if unpack.unconsumed_tail:
+        raise ValueError("PDF stream is too large")
+    return out
+
+
+def pdf(data: bytes, language: str | None = "eng") -> Extracted:
+    """By pdftotext where it is installed, by OCR if there is no text layer and
+    *language* is given; without pdftotext the text operators of plain or
+    deflated streams, which is enough for simple generated files."""
     if shutil.which("pdftotext"):
         with tempfile.NamedTemporaryFile(suffix=".pdf") as f:
             f.write(data)
             f.flush()
             text = _run(["pdftotext", "-layout", "-enc", "UTF-8", f.name, "-"])
-        if not text.strip():
-            raise Skip("no text layer")
-        return Extracted(text)
+        return Extracted(text) if text.strip() else scanned_pdf(data, language)
     if not data.startswith(b"%PDF"):
         raise ValueError("not a PDF")
     shown = []
     for stream in re.findall(rb"stream\r?\n(.*?)endstream", data, re.S):
-        shown += re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", stream)
+        for array, one in re.findall(rb"\[((?:[^\[\]()]|\((?:[^()\\]|\\.)*\))*)\]\s*TJ|\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|')", _inflated(stream)):
+            shown.append(one if one or not array else b"".join(re.findall(rb"\(((?:[^()\\]|\\.)*)\)", array)))
     text = "\n".join(re.sub(rb"\\([()\\])", rb"\1", s).decode("latin-1") for s in shown)
     if not text.strip():
         raise Skip("no text layer")
     return Extracted(text)
 
 
-def image(data: bytes, language: str = "eng") -> Extracted:
-    """By tesseract where it is installed; else skipped."""
-    if not shutil.which("tesseract"):
+def image(data: bytes, language: str | None = "eng") -> Extracted:
+    """By tesseract where it is installed and *language* is given; else skipped."""
+    if language is None or not shutil.which("tesseract"):
         raise Skip("OCR is off")
     with tempfile.NamedTemporaryFile() as f:
         f.write(data)
@@ -246,16 +284,18 @@ def image(data: bytes, language: str = "eng") -> Extracted:
 
 
 class Registry:
-    """Extension to (format name, extractor); the first registration stays."""
+    """Extension to (format name, extractor); the first registration stays.
+
+    *language*: of OCR, None for no OCR."""
 
-    def __init__(self, text_only: bool = False):
+    def __init__(self, text_only: bool = False, language: str | None = "eng"):
         self.by_extension: dict[str, tuple[str, Extractor]] = {}
         self.register("text", passthrough, TEXT_EXTENSIONS)
         if not text_only:
             for name, f, exts in (
-                ("html", html, ".html .htm .xhtml"), ("pdf", pdf, ".pdf"), ("docx", docx, ".docx"), ("pptx", pptx, ".pptx"),
+                ("html", html, ".html .htm .xhtml"), ("pdf", partial(pdf, language=language), ".pdf"), ("docx", docx, ".docx"), ("pptx", pptx, ".pptx"),
                 ("odf", odf, ".odt .ods .odp"), ("xlsx", xlsx, ".xlsx"), ("csv", csv_table, ".csv"), ("rtf", rtf, ".rtf"),
-                ("eml", eml, ".eml"), ("image", image, ".png .jpg .jpeg .tif .tiff .bmp .gif .webp"),
+                ("eml", eml, ".eml"), ("image", partial(image, language=language), ".png .jpg .jpeg .tif .tiff .bmp .gif .webp"),
             ):
                 self.register(name, f, exts.split())
 

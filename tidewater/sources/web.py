@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import random
 import time
+import urllib.error
+import urllib.request
 from collections import OrderedDict
 from collections.abc import Callable
 
@@ -20,6 +22,22 @@ RESPONSE = "code int, msg string, data struct<webPages: struct<value: array<stru
 Transport = Callable[[str, bytes], tuple[int, bytes]]
 
 
+def http_transport(url: str, key: str, timeout: float = 30.0) -> Transport:
+    """Posts JSON below *url* with *key* as bearer; an HTTP error is an answer."""
+    if not url.startswith(("https://", "http://")):
+        raise ValueError(f"not an HTTP address: {url!r}")
+
+    def post(path: str, body: bytes) -> tuple[int, bytes]:
+        head = {"Content-Type": "application/json", "Authorization": f"Bearer {key}"}
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url.rstrip("/") + path, body, head), timeout=timeout) as r:
+                return r.status, r.read()
+        except urllib.error.HTTPError as e:
+            return e.code, e.read()
+
+    return post
+
+
 def decode(responses: DataFrame, json_col: str, key_col: str) -> DataFrame:
     """key, id, title, url, snippet, score, source; responses with another code
     than 0 or 200 have no rows here (see :func:`failures`)."""

@@ -20,7 +20,11 @@ def classify(kind: Column, indexable: Column) -> Column:
 
 
 def watch_ops(events: DataFrame, ts: str, path: str, kind: str, indexable: Column | None = None) -> DataFrame:
+    """ts, path, op of the events that matter; those without a time do not."""
     op = classify(F.col(kind), F.lit(True) if indexable is None else indexable)
+    # the condition needs the time, so it is not moved below a watermark, which
+    # rows without an operation shall advance
+    op = F.when(F.col(ts).isNotNull(), op)
     return events.select(F.col(ts).alias("ts"), F.col(path).alias("path"), op.alias("op")).where("op is not null")
 
 
