@@ -21,7 +21,8 @@ def _ms(began: float) -> int:
 
 class Session:
     def __init__(self, engine: Engine, web: WebClient | None = None, reranker=None):
-        """*reranker*: a function (query, snippets) -> [(index, score)], or None."""
+        """*reranker*: a function (query, snippets) -> [(index, score)], whose
+        results are ordered by score; without it *web* reranks, in its own order."""
         self.engine, self.web, self.reranker = engine, web, reranker
 
     @classmethod
@@ -29,21 +30,26 @@ class Session:
         """With web search and reranking where the settings name a service."""
         s = engine.settings
         web = WebClient(http_transport(s.web_url, s.web_key)) if s.web_url and s.web_key else None
-        return cls(engine, web, None if web is None else lambda query, texts: web.rerank(query, texts, len(texts)))
+        return cls(engine, web)
 
     def search_local(self, query: str, limit: int = 10, mode: str = "", rerank: bool = False) -> dict:
         """count, results, duration_ms and timing of the search and of the rerank."""
         began = time.monotonic()
         if not query.strip():
             raise ValueError("query is empty")
-        if rerank and self.reranker is None:
+        if rerank and self.reranker is None and self.web is None:
             raise ValueError("reranking needs a web search API key")
         rows = [r.asDict() for r in self.engine.search(query, local_limit(limit), mode).collect()]
         timing = {"search_ms": _ms(began)}
         if rerank and rows:
             start = time.monotonic()
-            # in the reranker's order; a page of results, so the driver does it
-            rows = [rows[i] | {"score": float(x)} for i, x in self.reranker(query, [r["snippet"] for r in rows])]
+            # one page of results, so the driver does it
+            texts = [r["snippet"] for r in rows]
+            if self.reranker is not None:
+                scores = sorted(self.reranker(query, texts), key=lambda s: (-s[1], s[0]))
+            else:
+                scores = self.web.rerank(query, texts, len(texts))
+            rows = [rows[i] | {"score": float(x)} for i, x in scores if 0 <= i < len(rows)]
             timing["rerank_ms"] = _ms(start)
         return {"count": len(rows), "results": rows, "duration_ms": _ms(began), "timing": timing}
 
