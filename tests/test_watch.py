@@ -71,6 +71,9 @@ def test_watcher_follows_and_flushes(spark, tmp_path):
     finally:
         watcher.stop()
     assert sorted(names()) == ["b.md", "c.md"] and not query.isActive
+    (root / "sub" / "b.md").unlink()
+    Watcher(engine).settle()
+    assert sorted(names()) == ["c.md"]
     with pytest.raises(ValueError):
         Watcher(Engine(spark, Settings.from_env({k: v for k, v in env.items() if "WATCH" not in k})))
 

@@ -41,7 +41,7 @@ class Watcher:
         bursts = watch.debounce(watch.watch_ops(events, "ts", "path", "kind", known), gap)
         writer = bursts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(self.fire)
         self.query = writer.trigger(processingTime=gap).start()
-        self.rescan()
+        self.settle()
         return self.query
 
     def fire(self, bursts: DataFrame, batch: int) -> None:
@@ -74,6 +74,10 @@ class Watcher:
             self.stopping = True
         if self.query is not None:
             self.query.stop()
+        self.settle()
+
+    def settle(self) -> None:
+        """Make the index agree with the disk, removals included."""
         self.rescan()
         with self.lock:
             self.report(self.engine.prune(paths=self.paths))
