@@ -1,12 +1,14 @@
 """Versioned Parquet snapshots of an index with an atomic pointer.
 
-A commit writes every table of a new version, then replaces the manifest in one
-rename; readers resolve the manifest once.  The lock file admits one writer.
-Older versions are dropped after the pointer has moved, but for the last one.
+A commit writes the tables that change to a new version, then replaces the
+manifest in one rename; it names the version of each table, so what has not
+changed stays where it is.  The lock file admits one writer.  Tables that neither
+the new manifest nor the one before it names are dropped after the rename.
 """
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import shutil
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import match
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 SCHEMAS = {
     "files": "path string, mtime_ns long, size long, content_hash string, indexed_at string",
     "chunks": "id string, file_path string, chunk_index int, line_start int, line_end int, text string",
@@ -45,23 +47,28 @@ class Store:
     def manifest(self) -> dict:
         path = os.path.join(self.root, "manifest.json")
         if not os.path.exists(path):
-            return {"schema_version": SCHEMA_VERSION, "version": 0, "meta": {}}
+            return {"schema_version": SCHEMA_VERSION, "version": 0, "meta": {}, "tables": {}}
         with open(path, encoding="utf-8") as f:
             return self.migrate(json.load(f))
 
     @staticmethod
     def migrate(manifest: dict) -> dict:
-        """Manifests of version 0 have no meta, those of version 1 no vectors."""
+        """Manifests of version 0 have no meta, those of version 1 no vectors;
+        below version 3 all tables are of one version."""
         version = manifest.get("schema_version", 0)
         if version > SCHEMA_VERSION:
             raise ValueError(f"index of schema version {version}")
         manifest.setdefault("meta", {})
+        manifest.setdefault("tables", dict.fromkeys(SCHEMAS | DERIVED, manifest.get("version", 0)))
         manifest["schema_version"] = SCHEMA_VERSION
         return manifest
 
+    def _folder(self, version: int, name: str) -> str:
+        return os.path.join(self.root, f"v={version}", name)
+
     def table(self, name: str) -> DataFrame:
-        version = self.manifest()["version"]
-        path = os.path.join(self.root, f"v={version}", name)
+        version = self.manifest()["tables"].get(name, 0)
+        path = self._folder(version, name)
         if version == 0 or not os.path.isdir(path):
             return self.spark.createDataFrame([], (SCHEMAS | DERIVED)[name])
         return self.spark.read.schema((SCHEMAS | DERIVED)[name]).parquet(path)
@@ -77,22 +84,37 @@ class Store:
             os.unlink(lock)
 
     def commit(self, tables: dict[str, DataFrame], meta: dict[str, str] | None = None) -> int:
-        """Write a new version; tables that are not given stay as they are."""
+        """Write *tables* as a new version; the others stay as they are."""
         with self.writer():
             old = self.manifest()
             version = old["version"] + 1
-            for name in SCHEMAS:
-                df = tables.get(name, self.table(name))
-                df.write.mode("overwrite").parquet(os.path.join(self.root, f"v={version}", name))
-            chunks = self.spark.read.schema(SCHEMAS["chunks"]).parquet(os.path.join(self.root, f"v={version}", "chunks"))
-            terms = match.index_postings(chunks, "id", "text")
-            terms = terms.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term")
-            terms.write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(self.root, f"v={version}", "postings"))
-            match.corpus_size(chunks, "text").write.mode("overwrite").parquet(os.path.join(self.root, f"v={version}", "corpus"))
-            new = old | {"version": version, "meta": old["meta"] | (meta or {})}
+            written = dict.fromkeys(tables, version)
+            for name, df in tables.items():
+                df.write.mode("overwrite").parquet(self._folder(version, name))
+            if "chunks" in tables:
+                self._derive(version)
+                written |= dict.fromkeys(DERIVED, version)
+            new = old | {"version": version, "meta": old["meta"] | (meta or {}), "tables": old["tables"] | written}
             temporary = os.path.join(self.root, "manifest.json.new")
             with open(temporary, "w", encoding="utf-8") as f:
                 json.dump(new, f)
             os.replace(temporary, os.path.join(self.root, "manifest.json"))
-            shutil.rmtree(os.path.join(self.root, f"v={version - 2}"), ignore_errors=True)
+            self._drop_unnamed(old["tables"], new["tables"])
             return version
+
+    def _derive(self, version: int) -> None:
+        """Postings and corpus size of the chunks just written."""
+        chunks = self.spark.read.schema(SCHEMAS["chunks"]).parquet(self._folder(version, "chunks"))
+        terms = match.index_postings(chunks, "id", "text")
+        terms = terms.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term")
+        terms.write.mode("overwrite").partitionBy("bucket").parquet(self._folder(version, "postings"))
+        match.corpus_size(chunks, "text").write.mode("overwrite").parquet(self._folder(version, "corpus"))
+
+    def _drop_unnamed(self, *named: dict[str, int]) -> None:
+        keep = {self._folder(version, name) for tables in named for name, version in tables.items()}
+        for folder in glob.glob(os.path.join(glob.escape(self.root), "v=*")):
+            for table in glob.glob(os.path.join(glob.escape(folder), "*")):
+                if table not in keep:
+                    shutil.rmtree(table, ignore_errors=True)
+            if not os.listdir(folder):
+                os.rmdir(folder)
