@@ -75,7 +75,12 @@ def test_other_model(engine):
     with pytest.raises(ValueError):
         engine.search("realm", mode="vector")
     assert paths(engine.search("realm", mode="hybrid")) == ["realms.md"]
-    assert engine.embed_files().embedded == 3 and paths(engine.search("realm", mode="vector"))[0] == "realms.md"
+    told = []
+    engine.progress = lambda event, counts: told.append((event, counts))
+    assert engine.embed_files(paths=["sub"]).embedded == 1  # the other model's vectors are gone
+    assert engine.embed_files(force=True, paths=["sub"]).embedded == 1 and engine.stats().first()["vector_chunk_count"] == 1
+    assert engine.embed_files().embedded == 2 and told[-1] == ("embed", {"embedded": 2})
+    assert engine.embed_files(force=True).embedded == 3 and paths(engine.search("realm", mode="vector"))[0] == "realms.md"
 
 
 def test_watch_stream(spark, tmp_path):

@@ -1,6 +1,8 @@
 """The session's operations, the HTTP adapter, postings, and mended rules."""
 
+import io
 import json
+import os
 import threading
 import time
 import urllib.error
@@ -10,11 +12,14 @@ import pytest
 
 from tidewater.functions import text as T
 from tidewater.operators import chunker, match
+from tidewater.plans.store import SCHEMAS, Store
 from tidewater.server import Server
 from tidewater.service import Engine
 from tidewater.session import Session
 from tidewater.settings import Settings
 from tidewater.sources.extract import Extracted, Registry
+from tidewater.sources.files import scan
+from tidewater.stdio import serve_stdio
 
 
 @pytest.fixture(scope="module")
@@ -68,6 +73,59 @@ def test_http(session):
         server.shutdown()
 
 
+def test_stdio(session):
+    asked = [
+        {"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {}},
+        {"jsonrpc": "2.0", "method": "notifications/initialized"},
+        {"jsonrpc": "2.0", "id": 2, "method": "tools/list"},
+        {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "list_indexed_files", "arguments": {}}},
+        {"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": {"name": "search_local", "arguments": {"query": " "}}},
+        {"jsonrpc": "2.0", "id": 5, "method": "tools/call", "params": {"name": "close"}},
+        {"jsonrpc": "2.0", "id": 6, "method": "other"},
+        {"id": 7},
+    ]
+    out = io.StringIO()
+    serve_stdio(session, io.StringIO("\n".join(map(json.dumps, asked)) + "\n\nnot json\n"), out)
+    got = [json.loads(line) for line in out.getvalue().splitlines()]
+    assert [r["id"] for r in got] == [1, 2, 3, 4, 5, 6, None, None]
+    assert [r["error"]["code"] for r in got[4:]] == [-32602, -32601, -32600, -32700]
+    tools = {t["name"]: t["inputSchema"] for t in got[1]["result"]["tools"]}
+    assert list(tools) == list(Session.OPERATIONS) and tools["index_paths"]["required"] == ["paths"]
+    assert tools["index_prune"]["properties"] == {"paths": {"type": "array", "items": {"type": "string"}}, "dry_run": {"type": "boolean"}}
+    listed = got[2]["result"]
+    assert listed["structuredContent"]["count"] == 2 and json.loads(listed["content"][0]["text"]) == listed["structuredContent"]
+    assert got[3]["result"]["isError"]
+
+
+def test_scan_lists_in_tasks(spark, tmp_path):
+    for name in ("a/b/c", "a/d", "e", ".git", "a/vendor"):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "f.md").write_text(name)
+    (tmp_path / "big.md").write_text("x" * 50)
+    (tmp_path / "other.bin").write_text("x")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    with open(os.fsencode(tmp_path) + b"/e/\xff.md", "w"):
+        pass
+    roots = [str(tmp_path), str(tmp_path / "big.md"), str(tmp_path / "none")]
+    for fan_out in (1, 2, 4, 99):  # wherever the driver leaves off
+        rows = scan(spark, roots, [".md"], 20, fan_out).collect()
+        assert sorted(r["path"][len(str(tmp_path)) :] for r in rows if r["message"] is None) == ["/a/b/c/f.md", "/a/d/f.md", "/e/f.md"]
+        assert all(r["mtime_ns"] == os.stat(r["path"]).st_mtime_ns for r in rows if r["message"] is None)
+        assert sorted(r["message"].rsplit(": ")[-1] for r in rows if r["message"]) == ["larger than 20 bytes"] * 2 + ["name is not UTF-8", "not found"]
+
+
+def test_commits_leave_other_tables_where_they_are(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "i"))
+    chunks = spark.createDataFrame([("c", "/f", 0, 1, 1, "some words")], SCHEMAS["chunks"])
+    store.commit({"chunks": chunks})
+    for _ in range(3):
+        store.commit({"vectors": spark.createDataFrame([("c", [1.0])], SCHEMAS["vectors"])})
+    assert store.manifest()["tables"] == {"chunks": 1, "postings": 1, "corpus": 1, "vectors": 4}
+    assert store.table("postings").count() == 2 and store.table("vectors").count() == 1 and store.table("files").count() == 0
+    assert sorted(os.listdir(tmp_path / "i")) == ["manifest.json", "v=1", "v=3", "v=4"]
+    assert Store.migrate({"schema_version": 2, "version": 7})["tables"]["files"] == 7
+
+
 def test_postings_give_the_same_scores(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     made, size = match.index_postings(docs, "doc_id", "text"), match.corpus_size(docs, "text")

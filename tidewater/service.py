@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,11 @@ from tidewater.sources.extract import Registry, extract_files
 from tidewater.sources.files import scan
 
 
+#: messages of a report
+MESSAGES = 20
+Progress = Callable[[str, dict[str, int]], None]
+
+
 @dataclass
 class Report:
     indexed: int = 0
@@ -34,7 +40,9 @@ class Report:
 class Engine:
     """An index directory, its settings, and optionally an embedder."""
 
-    def __init__(self, spark: SparkSession, settings: Settings, embedder: vector.Embedder | None = None):
+    def __init__(self, spark: SparkSession, settings: Settings, embedder: vector.Embedder | None = None, progress: Progress = lambda event, counts: None):
+        """*progress* is told of each step (scan, files, embed) with its counts."""
+        self.progress = progress
         self.spark, self.settings, self.embedder = spark, settings, embedder
         self.store = Store(spark, settings.index_dir)
         self.registry = Registry(settings.text_only, settings.ocr_language if settings.ocr else None)
@@ -46,8 +54,10 @@ class Engine:
     def index_paths(self, paths: list[str], force: bool = False) -> Report:
         began, s = time.monotonic(), self.settings
         roots = [s.resolve(p) for p in paths]
-        manifest, messages = scan(self.spark, roots, self.registry.extensions(), s.max_file_bytes)
-        manifest = manifest.dropDuplicates(["path"])
+        self.progress("scan", {"roots": len(roots)})
+        found = scan(self.spark, roots, self.registry.extensions(), s.max_file_bytes).cache()  # one walk
+        messages = [r["message"] for r in found.where("message is not null").orderBy("path").limit(MESSAGES).collect()]
+        manifest = found.where("message is null").drop("message").dropDuplicates(["path"])
         files, chunks, vectors = (self.store.table(n) for n in ("files", "chunks", "vectors"))
         diff = index.incremental_diff(manifest, files.select("path", "mtime_ns", "size"), force).cache()
         todo = manifest.join(diff.where("status <> 'unchanged'"), "path")
@@ -66,12 +76,13 @@ class Engine:
         hashed = todo.join(good, "path").select("path", "mtime_ns", "size", T.content_hash(F.col("text")).alias("content_hash"), F.lit(now_utc()).alias("indexed_at"))
         fresh = chunker.chunk_documents(good, "path", "text", s.chunk_bytes, s.overlap_bytes, s.max_chunks)
         counts = {(r["status"], r["outcome"]): r["n"] for r in diff.join(got.select("path", "outcome"), "path", "left").groupBy("status", "outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
-        messages += [f"{r['path']}: {r['error'] or r['outcome']}" for r in got.where("outcome <> 'ok'").orderBy("path").limit(20).collect()]
+        messages += [f"{r['path']}: {r['error'] or r['outcome']}" for r in got.where("outcome <> 'ok'").orderBy("path").limit(MESSAGES).collect()]
         report = Report(
             indexed=counts.get(("new", "ok"), 0), updated=counts.get(("changed", "ok"), 0),
             skipped=sum(n for (st, _), n in counts.items() if st == "unchanged"),
-            errors=sum(n for (_, o), n in counts.items() if o == "error"), messages=messages[:20],
+            errors=sum(n for (_, o), n in counts.items() if o == "error"), messages=messages[:MESSAGES],
         )
+        self.progress("files", {"indexed": report.indexed, "updated": report.updated, "skip": report.skipped, "error": report.errors, "empty": sum(n for (_, o), n in counts.items() if o == "empty")})
         if report.indexed + report.updated:
             gone = chunks.join(good.select(F.col("path").alias("file_path")), "file_path", "left_semi").select(F.col("id").alias("chunk_id"))
             tables = {
@@ -82,23 +93,31 @@ class Engine:
             self.store.commit(tables, {"indexed_at": now_utc()})
             if self.embedder and s.embed_backend != "none":
                 report.embedded = self.embed_files().embedded
-        diff.unpersist(), got.unpersist()
+        found.unpersist(), diff.unpersist(), got.unpersist()
         report.duration_ms = int((time.monotonic() - began) * 1000)
         return report
 
-    def embed_files(self, force: bool = False) -> Report:
-        """Vectors for chunks without one; all of them after a change of model."""
+    def embed_files(self, force: bool = False, paths: list[str] | None = None) -> Report:
+        """Vectors for chunks without one, below *paths* only if given, in the order
+        of the chunks; *force* makes them anew.  After a change of model all
+        vectors go first."""
         if self.embedder is None:
             raise ValueError("no embedder")
         meta = self.store.manifest()["meta"]
         vectors, chunks = self.store.table("vectors"), self.store.table("chunks")
-        if force or meta.get("embed_model", self.embedder.model) != self.embedder.model:
+        scope = [c for p in paths or [] for c in self.settings.candidates(p)]
+        if paths:
+            chunks = chunks.where(index.under_any(F.col("file_path"), scope))
+        if meta.get("embed_model", self.embedder.model) != self.embedder.model or (force and not paths):
             vectors = vectors.limit(0)
-        missing = vector.backfill(chunks, vectors, "id", "chunk_id")
+        elif force:
+            vectors = vectors.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti")
+        missing = vector.backfill(chunks, vectors, "id", "chunk_id").sortWithinPartitions("file_path", "chunk_index")
         new = vector.embed_with(missing, "id", "text", self.embedder, self.settings.embed_batch).cache()
         n = new.count()
-        self.store.commit({"vectors": index.upsert(vectors, new, "chunk_id")}, {"embed_model": self.embedder.model})
+        self.store.commit({"vectors": vectors.unionByName(new)}, {"embed_model": self.embedder.model})
         new.unpersist()
+        self.progress("embed", {"embedded": n})
         return Report(embedded=n)
 
     def _survivors(self, keep: DataFrame) -> dict[str, DataFrame]:

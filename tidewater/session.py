@@ -33,7 +33,7 @@ class Session:
         return cls(engine, web)
 
     def search_local(self, query: str, limit: int = 10, mode: str = "", rerank: bool = False) -> dict:
-        """count, results, duration_ms and timing of the search and of the rerank."""
+        """Indexed chunks for a query by keyword, vector or hybrid search, with timing."""
         began = time.monotonic()
         if not query.strip():
             raise ValueError("query is empty")
@@ -54,6 +54,7 @@ class Session:
         return {"count": len(rows), "results": rows, "duration_ms": _ms(began), "timing": timing}
 
     def search_file(self, path: str, query: str, limit: int = 10, case_sensitive: bool = False) -> dict:
+        """Lines of one file that hold terms of a query, best first."""
         began = time.monotonic()
         rows = [r.asDict() for r in self.engine.search_file(path, query, limit, case_sensitive).collect()]
         whole = self.engine.settings.resolve(path)
@@ -62,6 +63,7 @@ class Session:
         return {"count": len(out), "results": out, "duration_ms": _ms(began)}
 
     def search_web(self, query: str, limit: int = 10, freshness: str = "noLimit", summary: bool = True) -> dict:
+        """Pages of the web search service for a query."""
         began = time.monotonic()
         if self.web is None:
             raise ValueError("web search API key is not set")
@@ -77,31 +79,37 @@ class Session:
         return {k: every[k] for k in fields}
 
     def index_paths(self, paths: list[str], force: bool = False) -> dict:
+        """Index new and changed files below the paths; all of them with force."""
         began = time.monotonic()
         if not paths:
             raise ValueError("paths are required")
         return self._report(self.engine.index_paths(paths, force), "indexed", "updated", "skipped", "errors", "messages") | {"duration_ms": _ms(began)}
 
     def remove_paths(self, paths: list[str]) -> dict:
+        """Take files or folders out of the index."""
         began = time.monotonic()
         if not paths:
             raise ValueError("paths are required")
         return self._report(self.engine.remove_paths(paths), "removed", "skipped", "errors", "messages") | {"duration_ms": _ms(began)}
 
     def index_prune(self, paths: list[str] | None = None, dry_run: bool = False) -> dict:
+        """Take out what is no longer on disk, below the paths if given."""
         began = time.monotonic()
         return self._report(self.engine.prune(dry_run, paths), "scanned", "removed", "skipped", "errors", "dry_run", "messages") | {"duration_ms": _ms(began)}
 
     def index_status(self) -> dict:
+        """Counts of files, chunks and vectors, and whether vectors are ready."""
         status = self.engine.status().first().asDict()
         return status | ({} if self.web is not None else {"message": "web search API key is not set"})
 
     def list_indexed_files(self, prefix: str | None = None) -> dict:
+        """Paths in the index, below a prefix if given."""
         began = time.monotonic()
         paths = [r["path"] for r in self.engine.list_files(prefix).select("path").collect()]
         return {"count": len(paths), "paths": paths, "duration_ms": _ms(began)}
 
     def index_stats(self) -> dict:
+        """Counts of files and folders, bytes, last change."""
         began = time.monotonic()
         return self.engine.stats().first().asDict() | {"duration_ms": _ms(began)}
 
