@@ -131,11 +131,20 @@ def search_postings(found: DataFrame, corpus: DataFrame, query: str, limit: int,
     terms = sorted({t for p in phrases for t in p})
     wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
     here = found.where(F.col("term").isin(terms) & F.array_contains(F.transform(wanted, term_bucket), F.col("bucket")))
-    by_doc = here.groupBy("id", "dl").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    # a word alone needs its count only; positions are shuffled for longer phrases
+    alone = sorted({p[0] for p in phrases if len(p) == 1})
+    within = sorted({t for p in phrases if len(p) > 1 for t in p})
+    term = F.col("term")
+    parts = [F.sum(F.when(term == t, F.size("positions"))).alias(f"c{i}") for i, t in enumerate(alone)]
+    if within:
+        parts.append(F.map_from_entries(F.collect_list(F.when(term.isin(within), F.struct("term", "positions")))).alias("at"))
+    by_doc = here.groupBy("id", "dl").agg(F.count(F.lit(1)).alias("n_terms"), *parts)
 
     def frequency(phrase: list[str]) -> Column:
         if not phrase:
             return F.lit(0)
+        if len(phrase) == 1:
+            return F.coalesce(f"c{alone.index(phrase[0])}", F.lit(0))
         places = [F.coalesce(F.try_element_at("at", F.lit(t)), F.array().cast("array<int>")) for t in phrase]
         hits = places[0]
         for k, p in enumerate(places[1:], 1):  # where the k-th token stands k places further on
