@@ -75,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     if a.command == "extract":
         return extract(a.path)
-    engine = Engine(SparkSession.builder.appName("tidewater").getOrCreate(), Settings.from_env(), progress=show)
+    engine = Engine(SparkSession.builder.appName("tidewater").config("spark.ui.showConsoleProgress", "false").getOrCreate(), Settings.from_env(), progress=show)
     if a.command == "serve":
         with Server((a.host, a.port), Session.open(engine), a.token) as server:
             server.serve_forever()
