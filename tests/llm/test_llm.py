@@ -335,6 +335,40 @@ def test_near_duplicates_on_odd_rows(odd, none):
     assert kept.columns == odd.columns and kept.where("doc_id = 5").count() == 0 and kept.where("doc_id = 4").count() == 1 and kept.where("doc_id is null").count() == 1
 
 
+def join_rows(spark, started, columns):
+    """Rows made since *started* by inner joins on *columns*, from Spark's own counts."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for e in (runs.apply(i) for i in range(runs.size())):
+        if e.submissionTime() < started:
+            continue
+        nodes, values = store.planGraph(e.executionId()).allNodes(), store.executionMetrics(e.executionId())
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and f"{columns}, Inner" in re.sub(r"#\d+L?", "", node.desc()):
+                for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined():
+                        made += int(values.get(m.accumulatorId()).get().replace(",", ""))
+    return made
+
+
+def test_bbit_joins_make_no_row_for_each_bucket(spark):
+    """A document that meets many leaders and blocks is joined with its signature and text once."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice((1, 2, 3))):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    started = int(time.time() * 1000)
+    out = bbit_minhash.detect(spark.createDataFrame(rows, "doc_id long, text string"), 4, block=32)
+    got = {r["doc_id"]: r["component_id"] for r in out.collect()}
+    assert got == {k: v for k, (_, v) in brute_components(rows, 4).items()}
+    made = join_rows(spark, started, "[id], [id]")
+    assert 0 < made <= 10 * len(rows)
+
+
 def test_bbit_estimate():
     maker = bbit_minhash.Shingler(4)
     a = maker.shingles([b"%d" % i for i in range(3000)])

@@ -18,7 +18,9 @@
 5. Components come from large-star/small-star rounds on the link table.
 
 Joins on buckets, leaders and nodes that many rows share are salted by the id
-of the other side.
+of the other side.  Signatures, texts and components reach the rows of an id
+through one row for the id (:func:`attach`), so these joins make no more rows
+than there are documents, in however many buckets, stars and blocks these are.
 
 With 32 bands of 4 rows a pair at similarity 0.8 shares no band with
 probability below 1e-7, and the estimate that leads to confirmation lies six
@@ -317,6 +319,17 @@ def salted_join(rows: DataFrame, keyed: DataFrame, key: str, by: str, salts: int
     return left.join(right, [key, "salt_"]).drop("salt_")
 
 
+def attach(rows: DataFrame, *keyed: DataFrame, how: str = "inner") -> DataFrame:
+    """Distinct *rows* with the columns of *keyed* for their id.  The rows of an
+    id are one list while tables are joined and are listed again afterwards."""
+    mine = [c for c in rows.columns if c != "id"]
+    out = rows.groupBy("id").agg(F.collect_set(F.struct(*mine)).alias("rows_"))
+    for one in keyed:
+        out = out.join(one, "id", how)
+    others = [c for c in out.columns if c != "rows_"]
+    return out.select(*others, F.explode("rows_").alias("row_")).select("row_.*", *others)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b) that is not its own root:
     the root is the smallest node that can be reached.  Large-star/small-star
@@ -363,9 +376,9 @@ def detect(docs: DataFrame, width: int = 4, percent: int = 80, block: int = 1024
     members = materialise(salted_join(in_band, buckets, "bucket", "id"), "buckets")
 
     sigs = reps.select("id", "sig")
-    pairs = members.where("id <> leader").select("leader", "id").distinct()
+    pairs = members.where("id <> leader").select("leader", "id")
     leaders = sigs.join(pairs.select(F.col("leader").alias("id")).distinct(), "id").select(F.col("id").alias("leader"), F.col("sig").alias("own"))
-    pairs = salted_join(pairs.join(sigs, "id"), leaders, "leader", "id", 8)
+    pairs = salted_join(attach(pairs, sigs), leaders, "leader", "id", 8)
     half = n_words // maker.bits
     differ = [
         F.bit_count(
@@ -387,18 +400,19 @@ def detect(docs: DataFrame, width: int = 4, percent: int = 80, block: int = 1024
     parts = stars.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / star).cast("int").alias("parts"))
     heads = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("leader").alias("id"))
     tails = stars.join(parts, "leader").select("leader", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"), "id")
-    rows = heads.unionByName(tails).join(chosen, "id").select("leader", "salt", "id", "text")
+    rows = attach(heads.unionByName(tails), chosen).select("leader", "salt", "id", "text")
     rows = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("id") != F.col("leader"), "id")
     first = materialise(rows.mapInArrow(lambda b: _confirm_stars(b, maker, percent), "a long, b long"), "links")
 
     found = materialise(components(first), "components")
-    comp = F.coalesce("root", "id").alias("comp")
-    placed = members.where("m > 2").select("bucket", "id").join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", comp)
-    whole = reps.select("id", "sig", "bands", "size")
-    several = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    placed = materialise(salted_join(placed, several, "bucket", "id").join(whole, "id"), "open")
-    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / block_shingles)).cast("int")
-    rest = salted_join(placed, placed.groupBy("bucket").agg(blocks.alias("blocks")), "bucket", "id")
+    roots_of = found.withColumnRenamed("node", "id")
+    comps = reps.groupBy("id").agg(F.sum("size").alias("size")).join(roots_of, "id", "left")
+    comps = materialise(comps.select("id", F.coalesce("root", "id").alias("comp"), "size"), "comps")
+    placed = attach(members.where("m > 2").select("bucket", "id"), comps)
+    whole = reps.select("id", "sig", "bands")
+    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / block_shingles)).cast("int").alias("blocks")
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), blocks).where("x <> y").select("bucket", "blocks")
+    rest = attach(salted_join(placed.drop("size"), several, "bucket", "id"), whole)
     rest = rest.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ["bucket", "i", "j"]
@@ -407,7 +421,7 @@ def detect(docs: DataFrame, width: int = 4, percent: int = 80, block: int = 1024
         F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "comp", "sig", "bands",
     ).repartition(*key).sortWithinPartitions(*key, "id")
     hopeful = rest.mapInArrow(lambda b: _promising(b, maker, least), "bucket long, i int, j int, side int, id long")
-    rows = hopeful.join(found, F.col("id") == F.col("node"), "left").select(*key, "side", "id", comp).join(whole, "id").join(chosen, "id")
+    rows = attach(hopeful, comps.drop("size"), whole, chosen)
     rows = rows.select(*key, "side", "id", "comp", "sig", "bands", "text").repartition(*key).sortWithinPartitions(*key, "id")
     second = materialise(rows.mapInArrow(lambda b: _confirm_blocks(b, maker, percent, least), "a long, b long"), "links")
 
@@ -416,7 +430,7 @@ def detect(docs: DataFrame, width: int = 4, percent: int = 80, block: int = 1024
     else:
         joined = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)
         final = materialise(components(joined), "components")
-    for done in (members, stars, chosen, first, placed, second):
+    for done in (members, stars, chosen, first, comps, second):
         discard(done)
     merged = classes.join(final, F.col("id") == F.col("node"), "left").where("copies > 1 or root is not null")
     roots = merged.select("key", F.coalesce("root", "id").alias("top"))
