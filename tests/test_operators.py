@@ -185,3 +185,13 @@ def test_settings(tmp_path):
     with pytest.raises(ValueError):
         Settings([str(a)], "i", embed_model="none")
     assert parse_duration("1m30s") == 90 and [local_limit(n) for n in (0, 7, 99)] == [10, 7, 50]
+
+
+def test_postings_carry_no_token_array_beside_a_token(spark):
+    """A text's tokens beside each of its tokens would be its length squared."""
+    df = spark.createDataFrame([(1, "a b a"), (2, None), (3, "b")], "doc_id long, text string")
+    found = match.index_postings(df, "doc_id", "text")
+    assert sorted(found.select("term", "id", "positions", "dl").collect()) == [("a", 1, [0, 2], 3), ("b", 1, [1], 3), ("b", 3, [0], 1)]
+    plan = found._jdf.queryExecution().optimizedPlan()
+    exploded = [n for n in (plan.apply(i) for i in range(plan.treeString().count("\n"))) if n is not None and n.nodeName() == "Generate"]
+    assert exploded and all(a.dataType().typeName() == "long" for n in exploded for a in (n.requiredChildOutput().apply(i) for i in range(n.requiredChildOutput().size())))

@@ -113,8 +113,11 @@ def term_bucket(term: Column) -> Column:
 def index_postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """term, id, positions, dl (tokens of the document), bucket: what a store
     keeps, laid out by bucket, so a query reads the buckets of its terms only."""
-    rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    out = rows.select("id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
+
+    def places(t: Column) -> Column:  # dl goes with each place: the array itself beside every token would be a copy a token
+        return F.transform(t, lambda x, i: F.struct(F.size(t).alias("dl"), i.alias("pos"), x.alias("term")))
+
+    out = docs.select(F.col(id_col).alias("id"), F.explode(let(tokens(F.col(text_col)), places)).alias("x")).select("id", "x.*")
     found = out.groupBy("term", "id", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     return found.select("term", "id", "positions", "dl", term_bucket(F.col("term")).alias("bucket"))
 
