@@ -532,6 +532,23 @@ def test_graph_search_falls_back_to_exact_results(spark):
     assert recall_of(df, list(range(1500)), mat, shard_rows=400, recall=1.1) == 1.0
 
 
+def test_graph_shards_are_built_in_tasks_of_their_own(spark, monkeypatch):
+    """However small the rows: adaptive execution would put all shards into one task."""
+    files, write = {}, graph_search.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        files[name] = len([f for f in out.inputFiles() if f.endswith(".parquet")])
+        return out
+
+    monkeypatch.setattr(graph_search, "materialise", counted)
+    mat = np.random.default_rng(12).normal(size=(1200, 8))
+    mat /= np.linalg.norm(mat, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(mat)], "vec_id long, embedding array<double>")
+    assert recall_of(df, list(range(1200)), mat, shard_rows=100) >= 0.95
+    assert files["graph-index"] >= 6
+
+
 def test_graph_search_keeps_rows_of_one_id_apart(spark):
     rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [2.0, 0.5]), (22, [0.5, 2.0]), (22, [0.5, 2.0])]
     got = graph_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()

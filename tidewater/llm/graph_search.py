@@ -20,9 +20,15 @@ the shared folder, and keeps the best ``k`` of each query, scored exactly in
 double precision; the results of the groups are merged by rank.
 
 Recall is measured in every run: ``checked`` queries, those with the smallest
-hashes, are compared with all vectors.  If less than ``recall`` of their true
-neighbours was found, all queries are compared with all vectors, block by block
-and shard by shard, and these exact results are returned.
+hashes, are compared with all vectors and searched with every beam width of
+``beams``.  All queries are searched with the smallest width that found ``aim``
+of these true neighbours (the more shards, the fewer of a query's neighbours are
+in one, and the narrower the beam may be), or else with the widest.  If that
+finds less than ``recall`` of them, all queries are compared with all vectors,
+block by block and shard by shard, and these exact results are returned.
+
+Shards are built and searched in tasks of a given number: their rows are few and
+small, and adaptive execution would put what is planned by size into one task.
 
 Insertion and search work on batches: a beam of ``ef`` nodes per query is kept
 in arrays, and the best unexpanded nodes of all queries are expanded together.
@@ -272,7 +278,8 @@ def _best_of(row, vec_id, score, k: int):
 
 def search(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, shard_rows: int = 8192, degree: int = 16,
-    ef_build: int = 128, ef: int = 192, block_rows: int = 512, groups: int = 64, checked: int = 64, recall: float = 0.9,
+    ef_build: int = 128, ef: int = 192, block_rows: int = 512, groups: int = 64, checked: int = 64, recall: float = 0.9, beams: tuple[int, ...] = (24, 48, 96), aim: float = 0.97,
+    most_tasks: int = 2048,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the *k* nearest found of each row whose id
     is divisible by *every*, among all other rows."""
@@ -294,6 +301,8 @@ def search(
         return pd.DataFrame({"dim": [dim], "e": [e], "shard": [shard]})
 
     placed = nodes.join(classes, ["dim", "e"]).withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
+    parts = classes.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]
+    placed = placed.repartition(min(most_tasks, 2 * parts), "dim", "e", "shard")
     index = materialise(placed.groupBy("dim", "e", "shard").applyInPandas(build, "dim int, e int, shard int"), "graph-index")
     # the shards of a dimension by exponent: as many entries as exponents, 2,100 at most
     known = classes.join(index.select("dim", "e").distinct(), ["dim", "e"]).groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("e", "shards"))).alias("classes"), F.least(F.lit(groups), F.sum("shards")).cast("int").alias("groups"))
@@ -309,16 +318,18 @@ def search(
         _write(folder, f"{dim}/{name}-{block}.npz", blob.getvalue())
         return pd.DataFrame({"name": [name], "dim": [dim], "block": [block]})
 
-    def hits(asked: DataFrame, name: str, exactly: bool) -> DataFrame:
+    def hits(asked: DataFrame, name: str, widths: list[int]) -> DataFrame:
+        """The best of each query and beam width; width 0 compares with all vectors."""
         count = asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
         dealt = asked.join(count, "dim").withColumn("block", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int")).withColumn("name", F.lit(name))
         blocks = materialise(dealt.groupBy("name", "dim", "block").applyInPandas(keep_block, "name string, dim int, block int"), "blocks")
         tasks = blocks.join(known, "dim").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-        tasks = tasks.repartition("dim", "block", "group")
+        tasks = tasks.withColumn("width", F.explode(F.array(*[F.lit(w) for w in widths])))
+        tasks = tasks.repartition(max(1, min(most_tasks, tasks.count())))
 
         def look_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                for block, dim, sizes, group, of in zip(frame["block"], frame["dim"], frame["classes"], frame["group"], frame["groups"]):
+                for block, dim, sizes, group, of, width in zip(frame["block"], frame["dim"], frame["classes"], frame["group"], frame["groups"], frame["width"]):
                     data = np.load(io.BytesIO(_read(folder, f"{dim}/{name}-{block}.npz")))
                     ids, own, h = data["id"], data["v"], data["h"]
                     best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
@@ -329,24 +340,28 @@ def search(
                             continue
                         shard = ShardFile(blob)
                         for a in range(0, len(ids), 128):
-                            row, vec_id, score = shard.candidates(ids[a : a + 128], own[a : a + 128], k, ef, exactly)
+                            row, vec_id, score = shard.candidates(ids[a : a + 128], own[a : a + 128], k, width, width == 0)
                             best = tuple(np.concatenate(x) for x in zip(best, (row + a, vec_id, score)))
                         best = _best_of(*best, k)
                     row, vec_id, score = best
-                    yield pd.DataFrame({"query_id": ids[row], "h": h[row], "vec_id": vec_id, "score": score})
+                    yield pd.DataFrame({"query_id": ids[row], "h": h[row], "vec_id": vec_id, "score": score, "width": np.full(len(row), width, np.int32)})
 
-        found = tasks.mapInPandas(look_up, "query_id long, h long, vec_id long, score double")
-        rank = F.row_number().over(Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id"))
+        found = tasks.mapInPandas(look_up, "query_id long, h long, vec_id long, score double, width int")
+        rank = F.row_number().over(Window.partitionBy("query_id", "h", "width").orderBy(F.desc("score"), "vec_id"))
         return materialise(found.withColumn("rank", rank).where(F.col("rank") <= k), "hits")
 
-    found = hits(queries, "asked", False)
+    widths = sorted({ef, *(w for w in beams if w < ef)})
     sample = materialise(queries.orderBy("h", "id").limit(checked), "checked")
-    true = hits(sample, "checked", True)
-    last = true.groupBy("query_id", "h").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-    good = found.join(last, ["query_id", "h"]).where(F.col("score") >= F.col("least")).count()
+    tried = hits(sample, "checked", [0, *widths])
+    true = tried.where("width = 0")
+    last = true.groupBy("query_id", "h").agg(F.min("score").alias("least"))
+    good = tried.where("width > 0").join(last, ["query_id", "h"]).where(F.col("score") >= F.col("least"))
+    good = {r["width"]: r["count"] for r in good.groupBy("width").count().collect()}
     wanted = true.count()
-    if good < recall * wanted:
-        found = hits(queries, "exact", True)
+    width = next((w for w in widths if good.get(w, 0) >= aim * wanted), ef)
+    if good.get(width, 0) < recall * wanted:
+        width = 0
+    found = hits(queries, "asked", [width])
     return found.select("query_id", "rank", "vec_id", "score")
 
 
